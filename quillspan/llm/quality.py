@@ -57,7 +57,7 @@ def votes(features: list[float]) -> list[int]:
         by(repeats, 0.7, 0.9) if n >= 50 else -1,
         1 if 3 <= length <= 12 else 0 if length < 2 or length > 20 else -1,
         by(abuse, 0.0, 0.01) if n >= 20 else -1,
-        1 if n >= 40 else 0 if n < 5 else -1,
+        1 if n >= 40 else 0 if n < 2 else -1,
     ]
 
 
