@@ -201,58 +201,62 @@ class Shard:
 
     def __init__(self, mail: pa.Table) -> None:
         self.number: dict[bytes, int] = {}
-        self.passages: list[tuple[int, np.ndarray]] = []
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        self.found: list[list[tuple[int, int]]] = []
+        self.found: list[list[tuple[int, list[int], int]]] = []
         blocks: dict[tuple, int] = {}
-        known: dict[bytes, int] = {}
+        first: dict[bytes, int] = {}
         for kind, ids, texts in zip(mail["kind"].to_pylist(), mail["a"].to_pylist(), mail["texts"].to_pylist(), strict=True):
-            if kind != "pass":
-                continue
-            for origin, text in zip(np.frombuffer(ids, np.int64).tolist(), texts, strict=True):
-                if text in known and self.passages[known[text]][0] <= origin:
-                    continue
-                known[text] = len(self.passages)
-                numbers = np.array([self.number.setdefault(w, len(self.number) + 1) for w in text.split(b" ")], np.int64)
-                self.passages.append((origin, numbers))
-                listed = numbers.tolist()
-                for at in {*range(0, len(listed) - BLOCK + 1, BLOCK)}:
-                    block = tuple(listed[at : at + BLOCK])
-                    if block not in blocks:
-                        blocks[block] = len(self.found)
-                        self.automaton.add_word(block, len(self.found))
-                        self.found.append([])
-                    self.found[blocks[block]].append((len(self.passages) - 1, at))
+            if kind == "pass":
+                for origin, text in zip(np.frombuffer(ids, np.int64).tolist(), texts, strict=True):
+                    first[text] = min(origin, first.get(text, origin))
+        for text, origin in sorted(first.items(), key=lambda x: x[1]):
+            own = [self.number.setdefault(w, len(self.number) + 1) for w in text.split(b" ")]
+            around: set[tuple] = set()
+            for at in range(0, len(own) - BLOCK + 1, BLOCK):
+                # a passage that repeats itself needs each block once for each neighbourhood
+                near = tuple(own[max(0, at - WINDOW) : at + BLOCK + WINDOW])
+                if len(near) == BLOCK + 2 * WINDOW:
+                    if near in around:
+                        continue
+                    around.add(near)
+                block = tuple(own[at : at + BLOCK])
+                if block not in blocks:
+                    blocks[block] = len(self.found)
+                    self.automaton.add_word(block, len(self.found))
+                    self.found.append([])
+                self.found[blocks[block]].append((origin, own, at))
         if self.found:
             self.automaton.make_automaton()
 
     def locate(self, doc_id: int, words: list[bytes]) -> np.ndarray:
         """Which windows of the document also start in a passage of a document with a smaller id."""
-        located = np.zeros(max(0, len(words) - WINDOW + 1), bool)
-        if not len(located) or not self.found:
-            return located
+        n = len(words)
+        located = bytearray(max(0, n - WINDOW + 1))
+        if not located or not self.found:
+            return np.frombuffer(located, np.uint8).astype(bool)
         get = self.number.get
         numbers = tuple([get(w, 0) for w in words])
-        array = None
+        need = WINDOW - BLOCK
         for end, block in self.automaton.iter(numbers):
             at = end - BLOCK + 1
-            if located[max(0, at + BLOCK - WINDOW) : at + 1].all():
+            first, past = max(0, at - need), min(at + 1, len(located))
+            if located.find(0, first, past) < 0:
                 continue
-            if array is None:
-                array = np.array(numbers, np.int64)
-            for passage, offset in self.found[block]:
-                origin, own = self.passages[passage]
-                if origin >= doc_id:
-                    continue
-                left, right = min(at, offset), min(len(array) - at, len(own) - offset)
-                same = array[at - left : at + right] == own[offset - left : offset + right]
-                off = np.flatnonzero(~same)
-                cut = np.searchsorted(off, left)
-                low = at - left + (int(off[cut - 1]) + 1 if cut else 0)
-                high = at - left + (int(off[cut]) if cut < len(off) else len(same))
+            for origin, own, offset in self.found[block]:
+                if origin >= doc_id:  # they ascend
+                    break
+                low, high = at, end + 1
+                start, stop = max(0, at - offset), min(n, at + len(own) - offset)
+                shift = offset - at
+                while low > start and numbers[low - 1] == own[low - 1 + shift]:
+                    low -= 1
+                while high < stop and numbers[high] == own[high + shift]:
+                    high += 1
                 if high - low >= WINDOW:
-                    located[low : high - WINDOW + 1] = True
-        return located
+                    located[low : high - WINDOW + 1] = b"\1" * (high - low - WINDOW + 1)
+                    if located.find(0, first, past) < 0:
+                        break
+        return np.frombuffer(located, np.uint8).astype(bool)
 
 
 def _locate(key: int, docs: pa.Table, mail: pa.Table, n_chunks: int) -> pa.Table:
