@@ -197,20 +197,35 @@ def _passages(key: int, docs: pa.Table, mail: pa.Table, full: bool) -> pa.Table:
 
 
 class Shard:
-    """The Aho-Corasick automaton of a chunk's passages, over numbers of words."""
+    """The Aho-Corasick automaton of a chunk's passages, over numbers of words.
+
+    A node of the automaton looks through its children in turn, so a word is spelt as digits
+    of its number in base 64, every digit's place with letters of its own: no node has more
+    than 64 children, and a match can only start at a word.
+    """
 
     def __init__(self, mail: pa.Table) -> None:
-        self.number: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        self.found: list[list[tuple[int, list[int], int]]] = []
-        blocks: dict[tuple, int] = {}
+        self.code: dict[bytes, str] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.found: list[list[tuple[int, list[str], int]]] = []
+        blocks: dict[str, int] = {}
         first: dict[bytes, int] = {}
         for kind, ids, texts in zip(mail["kind"].to_pylist(), mail["a"].to_pylist(), mail["texts"].to_pylist(), strict=True):
             if kind == "pass":
                 for origin, text in zip(np.frombuffer(ids, np.int64).tolist(), texts, strict=True):
                     first[text] = min(origin, first.get(text, origin))
+        words = {w for text in first for w in text.split(b" ")}
+        digits = 1
+        while 64**digits <= len(words):
+            digits += 1
+
+        def spelt(number: int) -> str:
+            return "".join(chr(0x100 + 64 * d + (number >> 6 * d) % 64) for d in range(digits))
+
+        self.unknown, self.digits = spelt(0), digits
+        self.code = {w: spelt(k) for k, w in enumerate(sorted(words), 1)}
         for text, origin in sorted(first.items(), key=lambda x: x[1]):
-            own = [self.number.setdefault(w, len(self.number) + 1) for w in text.split(b" ")]
+            own = [self.code[w] for w in text.split(b" ")]
             around: set[tuple] = set()
             for at in range(0, len(own) - BLOCK + 1, BLOCK):
                 # a passage that repeats itself needs each block once for each neighbourhood
@@ -219,7 +234,7 @@ class Shard:
                     if near in around:
                         continue
                     around.add(near)
-                block = tuple(own[at : at + BLOCK])
+                block = "".join(own[at : at + BLOCK])
                 if block not in blocks:
                     blocks[block] = len(self.found)
                     self.automaton.add_word(block, len(self.found))
@@ -234,23 +249,23 @@ class Shard:
         located = bytearray(max(0, n - WINDOW + 1))
         if not located or not self.found:
             return np.frombuffer(located, np.uint8).astype(bool)
-        get = self.number.get
-        numbers = tuple([get(w, 0) for w in words])
+        get, unknown = self.code.get, self.unknown
+        spelt = [get(w, unknown) for w in words]
         need = WINDOW - BLOCK
-        for end, block in self.automaton.iter(numbers):
-            at = end - BLOCK + 1
+        for end, block in self.automaton.iter("".join(spelt)):
+            at = (end + 1) // self.digits - BLOCK
             first, past = max(0, at - need), min(at + 1, len(located))
             if located.find(0, first, past) < 0:
                 continue
             for origin, own, offset in self.found[block]:
                 if origin >= doc_id:  # they ascend
                     break
-                low, high = at, end + 1
+                low, high = at, at + BLOCK
                 start, stop = max(0, at - offset), min(n, at + len(own) - offset)
                 shift = offset - at
-                while low > start and numbers[low - 1] == own[low - 1 + shift]:
+                while low > start and spelt[low - 1] == own[low - 1 + shift]:
                     low -= 1
-                while high < stop and numbers[high] == own[high + shift]:
+                while high < stop and spelt[high] == own[high + shift]:
                     high += 1
                 if high - low >= WINDOW:
                     located[low : high - WINDOW + 1] = b"\1" * (high - low - WINDOW + 1)
