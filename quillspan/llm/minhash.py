@@ -193,19 +193,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = bands.groupBy("band").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
     bands = written(bands.join(shared, "band").select("band", "doc_id", "low"), "bands")
     pairs = bands.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-    # one text per id: of rows that repeat an id, the least of the texts that lead a class
+    # one text per id: of rows that repeat an id, the least; only documents that share a band are looked at again
     texts = real.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(signed) else real
-    links = written(_verified(pairs, texts, threshold), "links")
+    texts = written(texts.join(bands.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    links, tried = written(_verified(pairs, texts, threshold), "links"), pairs
     roots = components(links)
-    labelled = bands.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    # bands that still hold several components: their pairs across components, if the signatures are anything alike
+    turn = 0
+    while True:
+        labelled = bands.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+        # bands that still hold several components: the least documents of these meet one of them, drawn by a hash
+        heads = labelled.groupBy("band", "root").agg(F.min("doc_id").alias("head"))
+        lot = F.struct(F.xxhash64(F.lit(turn), "root"), "head")
+        drawn = heads.groupBy("band").agg(F.min(lot)["head"].alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+        star = heads.join(drawn, "band").where("head <> leader").select(F.least("head", "leader").alias("a"), F.greatest("head", "leader").alias("b")).distinct()
+        star = written(star.join(tried, ["a", "b"], "left_anti"), "star")
+        more = written(_verified(star, texts, threshold), "links")
+        if more.isEmpty():
+            break
+        links, tried, turn = links.union(more), tried.union(star), turn + 1
+        roots = components(links)
+    # what is left across components is verified pair by pair, if the signatures are anything alike
     open_ = labelled.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
     open_ = written(labelled.join(open_, "band").join(first.select("doc_id", "n", "signature"), "doc_id"), "open")
     x, y = open_.alias("x"), open_.alias("y")
     near = (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
     sizes = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
-    rest = x.join(y, near & sizes).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.signature").alias("s"), F.col("y.signature").alias("t"))
-    rest = written(rest.dropDuplicates(["a", "b"]).where(_equal_places("s", "t") >= ALIKE).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "rest")
+    rest = x.join(y, near & sizes).where(_equal_places("x.signature", "y.signature") >= ALIKE).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    rest = written(rest.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         roots = components(links.union(_verified(rest, texts, threshold)))
     classes = members.join(first.select("text_key", F.col("doc_id").alias("class_id")), "text_key").select("doc_id", "class_id")
