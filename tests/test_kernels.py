@@ -85,4 +85,4 @@ def test_read_sessions(spark, tmp_path):
     (tmp_path / "one.jsonl").write_text('{"eventNum": "3", "eventName": "suggestion-open", "eventTimestamp": 5, "eventSource": "API", "currentSuggestions": [{"index": 4, "original": " hi "}, 7], "textDelta": "", "currentDoc": ""}\n')
     (row,) = read_sessions(spark, str(tmp_path)).drop("text_delta", "cursor_range").collect()
     assert (row.session_id, row.event_num, row.source, row.current_doc) == ("one", 3, "api", None)
-    assert [(c.index, c.trimmed) for c in row.candidates] == [(4, "hi")]
+    assert [(c["index"], c["trimmed"]) for c in row.candidates] == [(4, "hi")]
