@@ -53,6 +53,11 @@ class Encoder:
     """
 
     odd = re.compile(r"\s[ ]|[ ]\s|^ | $")
+    line = re.compile(r"(?<=\S)(\n)(?=\S)")
+
+    @staticmethod
+    def _stop(piece: str) -> tuple[str, ...]:
+        return (piece[:-1], piece[-1]) if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalnum() else (piece,)
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,8 +83,14 @@ class Encoder:
         new = {w for words in cut if words for w in words}
         if len(self.cache) + len(new) > 2 * CACHE_WORDS:
             self.cache.clear()
-        missing = [w for w in new if w not in self.cache]
-        self.cache.update(zip(missing, self._blobs(missing), strict=True))
+        # the pre-tokenizer also cuts around a line end between two characters that are no white space, and between
+        # a letter or digit and a stop: new pieces are put together from shorter, commoner ones
+        missing = {w: [p for x in self.line.split(w) for p in self._stop(x)] for w in new if w not in self.cache}
+        parts = [p for p in {p for ps in missing.values() for p in ps} if p not in self.cache]
+        self.cache.update(zip(parts, self._blobs(parts), strict=True))
+        for w, ps in missing.items():
+            if len(ps) > 1:
+                self.cache[w] = b"".join(map(self.cache.__getitem__, ps))
         whole = iter(self._blobs([t for t, words in zip(texts, cut, strict=True) if words is None]))
         return [next(whole) if words is None else b"".join(map(self.cache.__getitem__, words)) for words in cut]
 
