@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, gram_hashes, hashed_words, mix, over_batches, pick, text_bytes, written
@@ -30,8 +30,8 @@ from .common import components, gram_hashes, hashed_words, mix, over_batches, pi
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 PLACES = BANDS * ROWS
-#: Least share of equal places for a pair that no least document has joined (4.5 standard deviations below THRESHOLD).
-ALIKE = 0.6
+#: Documents and shingles of a block of a band.
+BLOCK_DOCS, BLOCK_SHINGLES = 1_000, 1_000_000
 #: Words whose signatures are made together.
 BATCH_WORDS = 400_000
 
@@ -117,7 +117,7 @@ def _by_words(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, n (shingles) and signature (PLACES uint32)."""
+    """(doc_id, text) -> doc_id, text_key, n (shingles) and signature (PLACES uint32)."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n", pa.int64()), ("signature", pa.binary())])
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -133,47 +133,122 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def _bands(signed: DataFrame) -> DataFrame:
-    """doc_id and the hash of each band."""
-    schema = pa.schema([("doc_id", pa.int64()), ("band", pa.int64())])
+    """doc_id, its number of shingles and the hash of each band."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("band", pa.int64())])
 
     def run(batch: pa.RecordBatch) -> dict:
         table = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint32).reshape(batch.num_rows, BANDS, ROWS).astype(np.uint64)
         key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), table.shape[:2]).copy()
         for r in range(ROWS):
             key = mix(key * _GOLD + table[:, :, r])
-        return {"doc_id": np.repeat(batch["doc_id"].to_numpy(), BANDS), "band": key.astype(np.int64).ravel()}
+        return {"doc_id": np.repeat(batch["doc_id"].to_numpy(), BANDS), "n": np.repeat(batch["n"].to_numpy(), BANDS), "band": key.astype(np.int64).ravel()}
 
-    return signed.select("doc_id", "signature").mapInArrow(over_batches(run, schema), "doc_id long, band long")
+    return signed.select("doc_id", "n", "signature").mapInArrow(over_batches(run, schema), "doc_id long, n long, band long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose documents' multisets are alike; documents hold one row per id."""
-    texts = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text"))
-    left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+def _bags(texts: DataFrame) -> DataFrame:
+    """(doc_id, text) -> doc_id and bag, the sorted hashes of its shingles (uint64)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("bag", pa.binary())])
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"doc_id": batch["doc_id"].to_pylist(), "bag": [np.sort(shingles(t.split())).tobytes() for t in text_bytes(batch["text"])]}
+
+    return texts.select("doc_id", "text").mapInArrow(over_batches(run, schema), "doc_id long, bag binary")
+
+
+def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose documents' multisets are alike; bags hold one row per id."""
+    left = pairs.join(bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b")), "b")
+    both = left.join(bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")), "a")
+    # the sizes alone bound the similarity
+    sizes = F.least(F.octet_length("bag_a"), F.octet_length("bag_b")) >= threshold * F.greatest(F.octet_length("bag_a"), F.octet_length("bag_b"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, bag = None, np.empty(0, np.uint64)
         for batch in batches:
-            a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
-            keep = []
-            for k, doc in enumerate(a):
-                if doc != last:
-                    last, bag = doc, shingles(batch["text_a"][k].as_py().split())
-                other = shingles(batch["text_b"][k].as_py().split())
-                # the sizes alone bound the similarity
-                if min(len(bag), len(other)) >= threshold * max(len(bag), len(other)) and similarity(bag, other) >= threshold:
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], schema=schema)
+            x, y = (c.to_pylist() for c in (batch["bag_a"], batch["bag_b"]))
+            keep = pa.array([similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= threshold for p, q in zip(x, y, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep).cast(schema)
+
+    return both.where(sizes).select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
+
+
+def joining_links(bags: list[np.ndarray], group: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links (places in bags) of similar multisets, left to right, that join what group and earlier links have not.
 
-    return both.mapInArrow(run, "a long, b long")
+    One multiset is held against all its partners at once, over ranks of the hashes.
+    """
+    size = np.array([len(b) for b in bags], np.int64)
+    values, rank = np.unique(np.concatenate(bags), return_inverse=True)
+    entry, count = np.unique(np.repeat(np.arange(len(bags)), size) * len(values) + rank, return_counts=True)
+    owner, rank = np.divmod(entry, len(values))
+    at = np.searchsorted(owner, np.arange(len(bags) + 1))
+    group, seen, links = group.copy(), np.zeros(len(values), np.int64), []
+    for u in np.flatnonzero(left):
+        to = right & (group != group[u]) & (np.minimum(size, size[u]) >= threshold * np.maximum(size, size[u]))
+        if left[u] and right[u]:
+            to[: u + 1] = False  # within a block each pair once
+        to = np.flatnonzero(to)
+        if not len(to):
+            continue
+        own = slice(at[u], at[u + 1])
+        seen[rank[own]] = count[own]
+        length = at[to + 1] - at[to]
+        first = np.cumsum(length) - length
+        pick_ = np.arange(length.sum()) + np.repeat(at[to] - first, length)
+        both = np.add.reduceat(np.minimum(seen[rank[pick_]], count[pick_]), first)
+        seen[rank[own]] = 0
+        for v in to[both >= threshold * (size[u] + size[to] - both)]:
+            if group[v] != group[u]:
+                links.append((int(u), int(v)))
+                group[group == group[v]] = group[u]
+    return links
+
+
+def _linked_in_bands(labelled: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(band, doc_id, n, root) -> links (a, b) that join unlike roots of a band.
+
+    A band with roots of one kind needs nothing; of bands that hold the same documents one
+    is looked at. A large band is cut into blocks by a hash of the id, and every two blocks
+    meet in a task, so memory is bounded and a hot band is spread over many tasks.
+    """
+    marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    kept = labelled.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("k"), F.sum("n").alias("t"), *marks).where("r0 <> r1")
+    kept = kept.groupBy("x0", "x1", "k", "t").agg(F.min("band").alias("band"))
+    blocks = F.ceil(F.greatest(F.col("k") / BLOCK_DOCS, F.col("t") / BLOCK_SHINGLES)).cast("int")
+    rows = labelled.join(kept.select("band", blocks.alias("blocks")), "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("doc_id", "root", "band", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.join(bags, "doc_id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "doc_id")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(held: list[tuple]) -> list[tuple[int, int]]:
+        docs, roots, own, i, j, bags = zip(*held, strict=True)
+        if len(set(roots)) == 1:
+            return []
+        own = np.array(own)
+        found = joining_links([np.frombuffer(b, np.uint64) for b in bags], np.unique(roots, return_inverse=True)[1], own == i[0], own == j[0], threshold)
+        return [(docs[u], docs[v]) for u, v in found]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def table(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], schema=schema)
+
+        for batch in batches:
+            found = []
+            for band, *row in zip(*(batch[c].to_pylist() for c in ("band", "doc_id", "root", "own", "i", "j", "bag")), strict=True):
+                now = (band, row[3], row[4])
+                if now != key:
+                    found += links(held) if held else []
+                    key, held = now, []
+                held.append(tuple(row))
+            yield table(found)
+        if held:
+            yield table(links(held))
 
-def _equal_places(a: str, b: str) -> Column:
-    """The share of equal places of two signatures (hex digits compared eight at a time)."""
-    place = lambda c, i: F.substring(F.hex(c), i * 8 + 1, F.lit(8))
-    return F.size(F.filter(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda i: place(F.col(a), i) == place(F.col(b), i))) / PLACES
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
@@ -191,37 +266,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = written(members.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "first")
     bands = _bands(first)
     shared = bands.groupBy("band").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    bands = written(bands.join(shared, "band").select("band", "doc_id", "low"), "bands")
+    bands = written(bands.join(shared.drop("n"), "band").select("band", "doc_id", "n", "low"), "bands")
     pairs = bands.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
     # one text per id: of rows that repeat an id, the least; only documents that share a band are looked at again
     texts = real.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(signed) else real
-    texts = written(texts.join(bands.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-    links, tried = written(_verified(pairs, texts, threshold), "links"), pairs
+    bags = written(_bags(texts.join(bands.select("doc_id").distinct(), "doc_id", "left_semi")), "bags")
+    links = written(_verified(pairs, bags, threshold), "links")
     roots = components(links)
-    turn = 0
-    while True:
-        labelled = bands.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        # bands that still hold several components: the least documents of these meet one of them, drawn by a hash
-        heads = labelled.groupBy("band", "root").agg(F.min("doc_id").alias("head"))
-        lot = F.struct(F.xxhash64(F.lit(turn), "root"), "head")
-        drawn = heads.groupBy("band").agg(F.min(lot)["head"].alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-        star = heads.join(drawn, "band").where("head <> leader").select(F.least("head", "leader").alias("a"), F.greatest("head", "leader").alias("b")).distinct()
-        star = written(star.join(tried, ["a", "b"], "left_anti"), "star")
-        more = written(_verified(star, texts, threshold), "links")
-        if more.isEmpty():
-            break
-        links, tried, turn = links.union(more), tried.union(star), turn + 1
-        roots = components(links)
-    # what is left across components is verified pair by pair, if the signatures are anything alike
-    open_ = labelled.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-    open_ = written(labelled.join(open_, "band").join(first.select("doc_id", "n", "signature"), "doc_id"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
-    sizes = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
-    rest = x.join(y, near & sizes).where(_equal_places("x.signature", "y.signature") >= ALIKE).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    rest = written(rest.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        roots = components(links.union(_verified(rest, texts, threshold)))
+    labelled = bands.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+    more = written(_linked_in_bands(written(labelled, "labelled"), bags, threshold), "links")
+    if not more.isEmpty():
+        roots = components(links.union(more))
     classes = members.join(first.select("text_key", F.col("doc_id").alias("class_id")), "text_key").select("doc_id", "class_id")
     named = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
     named = named.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min(F.coalesce("root", "class_id")).alias("component_id"))

@@ -202,7 +202,9 @@ def test_pii(spark, docs, rows):
     assert pii.find_pii(empty(docs)).count() == 0
 
 
-def test_minhash(docs, rows):
+@pytest.mark.parametrize("block", [3, 1000])
+def test_minhash(docs, rows, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", block)
     sets = [(i, Counter(tuple(w[k : k + min(5, len(w))]) for k in range(len(w) - min(5, len(w)) + 1)) if (w := words_of(t)) else Counter()) for i, t, _ in rows if i is not None]
     root = {i: i for i, _ in sets}
     for _ in range(len(sets)):
@@ -216,6 +218,31 @@ def test_minhash(docs, rows):
     assert minhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_links_within_bands(spark, monkeypatch):
+    """All documents in one band, no links yet: blocks find what all pairs find."""
+    rng = random.Random(7)
+    base = [[rng.randrange(300) for _ in range(60)] for _ in range(6)]
+    bags = {i: Counter(rng.randrange(300) if rng.random() < 0.06 else v for v in rng.choice(base)) for i in range(40)}
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 7)
+    labelled = spark.createDataFrame([(b, i, 60, i) for b in (1, 2) for i in bags], "band long, doc_id long, n long, root long")
+    table = spark.createDataFrame([(i, np.sort(np.array(list(c.elements()), np.uint64)).tobytes()) for i, c in bags.items()], "doc_id long, bag binary")
+    got = {i: i for i in bags}
+    want = dict(got)
+
+    def join(root, a, b):
+        x, y = sorted((root[a], root[b]))
+        root.update({k: x for k, v in root.items() if v == y})
+
+    for r in minhash._linked_in_bands(labelled, table, 0.8).collect():
+        assert sum((bags[r.a] & bags[r.b]).values()) >= 0.8 * sum((bags[r.a] | bags[r.b]).values())
+        join(got, r.a, r.b)
+    for a in bags:
+        for b in bags:
+            if a < b and sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values()):
+                join(want, a, b)
+    assert got == want and 1 < len(set(want.values())) < 40
+
+
 def test_bagminhash_estimates():
     rng, error = random.Random(1), []
     for _ in range(30):
