@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 NULL_ID = np.iinfo(np.int64).max
 #: Cached words per Python worker; the cache is emptied beyond it.
 CACHE_WORDS = 300_000
+#: Rows of an Arrow batch that are turned into Python objects together.
+SLICE_ROWS = 2_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -49,6 +53,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_HELD: list = []
+
+
+def give_back() -> None:
+    """Returns freed memory of this Python worker to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def use_cache(owner: str, clear: Callable[[], None]) -> None:
+    """One operator's caches at a time: a worker that serves another stage drops those of the stage before."""
+    if _HELD and _HELD[0] != owner:
+        _HELD[1]()
+        gc.collect()
+        give_back()
+    _HELD[:] = [owner, clear]
+
+
 class WordHashes(dict):
     """word bytes -> 64-bit hash, remembered for the words met lately."""
 
@@ -63,6 +88,7 @@ HASHES = WordHashes()
 
 
 def hashed_words(words: list[bytes]) -> np.ndarray:
+    use_cache("hashes", HASHES.clear)
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
@@ -88,9 +114,10 @@ def over_batches(function: Callable[[pa.RecordBatch], dict], schema: pa.Schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                columns = function(batch)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                columns = function(batch.slice(at, SLICE_ROWS))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+        give_back()
 
     return run
 

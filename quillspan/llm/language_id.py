@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, pick, text_bytes
+from .common import CACHE_WORDS, pick, text_bytes, use_cache
 
 #: The most documents a language is learned from, and the bytes of a run of states.
 DOCS_PER_LANGUAGE, SPAN = 400, 48
@@ -206,6 +206,7 @@ _TOOLS: dict[bytes, Labeller] = {}
 
 
 def _labeller(net: Network) -> Labeller:
+    use_cache("language", _TOOLS.clear)
     key = b"".join([w.tobytes() for w in net.weights()]) + repr(net.labels).encode()
     if key not in _TOOLS:
         _TOOLS.clear()
@@ -248,4 +249,5 @@ def with_language(docs: DataFrame, net: Network, text_col: str = "text") -> Data
         texts = [(t or "").encode() for t in text]
         return pd.DataFrame([x for at in range(0, len(texts), 500) for x in predicted(net, texts[at : at + 500])], columns=["lang_pred", "score"])
 
-    return docs.withColumn("__language", label(F.col(f"`{text_col}`")))
+    # else a filter on the result would be pushed below it with a labelling of its own
+    return docs.withColumn("__language", label.asNondeterministic()(F.col(f"`{text_col}`")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, gram_hashes, hashed_words, mix, over_batches, pick, text_bytes, written
+from .common import components, give_back, gram_hashes, hashed_words, mix, over_batches, pick, text_bytes, written
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -169,6 +169,7 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
             x, y = (c.to_pylist() for c in (batch["bag_a"], batch["bag_b"]))
             keep = pa.array([similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= threshold for p, q in zip(x, y, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep).cast(schema)
+        give_back()
 
     return both.where(sizes).select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
 
@@ -247,6 +248,7 @@ def _linked_in_bands(labelled: DataFrame, bags: DataFrame, threshold: float) ->
             yield table(found)
         if held:
             yield table(links(held))
+        give_back()
 
     return rows.mapInArrow(run, "a long, b long")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import CACHE_WORDS, over_batches, pick
+from .common import CACHE_WORDS, over_batches, pick, use_cache
 
 SPACE = "▁"
 #: Words merged together: their arrays stay in the processor's cache.
@@ -249,10 +249,15 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(model_path: str) -> Codec:
+def _codec(model_path: str) -> Codec:
     return Codec(model_path)
 
 
+def codec(model_path: str) -> Codec:
+    use_cache("pieces", _codec.cache_clear)
+    return _codec(model_path)
+
+
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", *, outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
     """doc_id, n_tokens and the outputs asked for: ids (array), decoded (text), ids_sha256, decoded_sha256.
 
