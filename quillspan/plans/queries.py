@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import STATES
-from ..operators import features, grouping, lifecycle, metrics, requests, sequences, stats
+from ..operators import features, grouping, indicators, lifecycle, metrics, requests, sequences, stats
 from ..sources.traces import TRACE_SQL, traces
 
 DIGITS = 6
@@ -40,17 +40,18 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("quality").cast("int").alias("y"), score.alias("s"))
 
 
-def _replayed(t: DataFrame) -> DataFrame:
+def _with_deltas(t: DataFrame) -> DataFrame:
     """The traces with deltas made from k: insertions of k characters and deletions of k, at place k."""
     retain = F.lit('[{"retain":')
     ops = F.when(F.col("event_name") == "text-insert", F.concat(retain, F.col("k"), F.lit(',"insert":"'), F.repeat(F.lit("x"), F.col("k").cast("int")), F.lit('"}]')))
     ops = ops.when(F.col("event_name") == "text-delete", F.concat(retain, F.col("k"), F.lit(',"delete":'), F.col("k"), F.lit("}]")))
-    return metrics.replayed(t.withColumn("ops_json", ops))
+    return t.withColumn("ops_json", ops)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "selection_metrics": _on(lambda t: metrics.selection_metrics(_replayed(t))),
-    "session_metrics": _on(lambda t: metrics.session_metrics(_replayed(t))),
+    "selection_metrics": _on(lambda t: metrics.selection_metrics(metrics.replayed(_with_deltas(t)))),
+    "target_behavior_metrics": _on(lambda t: indicators.target_behavior_metrics(indicators.historical_sessions(_with_deltas(t)))),
+    "session_metrics": _on(lambda t: metrics.session_metrics(metrics.replayed(_with_deltas(t)))),
     "scan_event_counts": _on(lambda t: t.groupBy("event_name", "source").agg(F.count("*").alias("n"), F.sum("k").alias("chars"))),
     "request_windows": _on(lambda t: requests.request_windows(t).select("session_id", "event_num", "window_id")),
     "first_in_window": _on(lambda t: requests.first_in_window(t)),

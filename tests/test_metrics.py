@@ -3,8 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillspan.operators import metrics
+from quillspan.operators import indicators, metrics
 from quillspan.sources.jsonl import read_sessions
 
 
@@ -13,7 +14,7 @@ def line(num, ts, source, name, ops=None, **more):
 
 
 @pytest.fixture(scope="module")
-def sessions(spark, tmp_path_factory):
+def events(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("logs")
     golden = [
         line(0, 1000, "system", "system-initialize", currentDoc="ABCD"),
@@ -31,7 +32,12 @@ def sessions(spark, tmp_path_factory):
     requests = [line(n, t, "user", "suggestion-get") for n, t in enumerate((0, 10, 40))]
     (folder / "asks.jsonl").write_text("\n".join(requests) + "\n")
     events = read_sessions(spark, str(folder))
-    return metrics.replayed(events.withColumn("ops_json", metrics.ops_of(events["text_delta"]))).cache()
+    return events.withColumn("ops_json", metrics.ops_of(events["text_delta"]))
+
+
+@pytest.fixture(scope="module")
+def sessions(events):
+    return metrics.replayed(events).cache()
 
 
 def test_selection_metrics(sessions):
@@ -58,3 +64,19 @@ def test_session_metrics(sessions):
     a = rows["asks"]
     assert (a.suggestion_requests, a.suggestion_opens, a.selection_rate) == (3, 0, 0.0)
     assert a.consultation_burstiness == pytest.approx((10 - 20) / (10 + 20))
+
+
+def test_target_behavior_metrics(events):
+    rows = {r.session_id: r.asDict() for r in indicators.target_behavior_metrics(indicators.historical_sessions(events)).collect()}
+    assert rows["golden"] == {
+        "session_id": "golden", "human_generation_before_ai": 6.0, "consultation_density": 10.0, "ai_contribution": 0.5, "ai_retention": 6 / 7, "non_adoption": 0.0,
+        "post_ai_editing": 2.0, "reconsultation": None, "response_latency": 1.5, "transition_entropy": None, "consultation_burstiness": None,
+    }
+    assert rows["still"]["ai_contribution"] == rows["still"]["non_adoption"] == 0.0 and rows["still"]["consultation_density"] is None
+    assert rows["asks"]["reconsultation"] == 1.0 and rows["asks"]["consultation_burstiness"] == pytest.approx((10 - 20) / (10 + 20))
+
+
+def test_transition_entropy(spark):
+    got = [r[0] for r in spark.createDataFrame([(["a", "b", "a", "b", "b"],), (["a", "a", "a"],), (["a"],), ([],)], "s array<string>").select(indicators.transition_entropy(F.col("s"))).collect()]
+    # pairs ab, ba, ab, bb
+    assert got == [pytest.approx(1.5 / 1.584962500721156), 0.0, None, None]
