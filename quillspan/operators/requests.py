@@ -78,3 +78,47 @@ def session_indicators(trace: DataFrame) -> DataFrame:
     post = per.where("anchor is not null").join(edits, "session_id").where("edit_ts > anchor and edit_ts <= limit").groupBy("session_id").agg(F.count("*").alias("post_edits"))
     again = per.groupBy("session_id").agg(F.count("*").alias("requests"), F.count_if(F.col("next_ts") - F.col("request_ts") <= RECONSULT_MS).alias("reconsulted"), F.count("open_num").alias("opened"), F.count("insert_num").alias("inserted"))
     return again.join(pre, "session_id", "left").join(post, "session_id", "left").withColumn("post_edits", F.coalesce("post_edits", F.lit(0)))
+
+
+def inserted_text(ops_json: str | Column = "ops_json") -> Column:
+    """The string insertions of a delta joined, without Python; empty if there are none (embeds don't count)."""
+    ops = F.coalesce(F.try_variant_get(F.try_parse_json(ops_json), "$", "array<variant>"), F.array().cast("array<variant>"))
+    kind = lambda o: F.schema_of_variant(F.try_variant_get(o, "$.insert", "variant")) == "STRING"
+    return F.array_join(F.transform(F.filter(ops, kind), lambda o: F.try_variant_get(o, "$.insert", "string")), "")
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+
+
+def request_outcomes(events: DataFrame) -> DataFrame:
+    """Per request of real logs: session_id, request_id, request_event_num, open_event_num, selection_count (0 or 1), outcome.
+
+    events: as of `metrics.replayed`, with candidates and hover_index. The selected text is the
+    candidate of the window's first open at the hover index of its first select (counted from 0);
+    it is compared to the stripped text of the first api insertion after that select that is not
+    blank. A select without such an insertion is judged by open and close, as if there were none.
+    """
+    name, num = F.col("event_name"), F.col("event_num")
+    used = events.where(name.isin("suggestion-get", "suggestion-open", "suggestion-select", "suggestion-close") | ((name == "text-insert") & (F.col("source") == "api")))
+    text = F.when(name == "text-insert", stripped(inserted_text()))
+    windows = request_windows(used.select(F.col("session_id").cast("string").alias("session_id"), "event_num", "event_name", "source", "candidates", "hover_index", text.alias("text")))
+    own = Window.partitionBy("session_id", "window_id").orderBy("event_num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen_at = F.min(F.when(name == "suggestion-select", num)).over(own)
+    after = windows.withColumn("is_insertion", F.coalesce((name == "text-insert") & (F.col("text") != "") & (num > chosen_at), F.lit(False)))
+    is_ = lambda short: name == f"suggestion-{short}"
+    per = after.groupBy("session_id", "window_id").agg(
+        F.min("event_num").alias("request_event_num"), F.min(F.when(is_("open"), num)).alias("open_event_num"), _first(F.col("candidates"), is_("open")).alias("shown"), F.count_if(is_("select")).alias("selects"),
+        F.min_by(F.struct("hover_index"), F.when(is_("select"), num)).alias("hover"), _first(F.col("source"), is_("close")).alias("close_source"), _first(F.col("text"), F.col("is_insertion")).alias("inserted"),
+    )
+    index = F.col("hover.hover_index")
+    selected = F.when((index >= 0) & (index < F.size("shown")), F.try_element_at("shown", (index + 1).cast("int")))
+    selected = F.coalesce(F.when(selected["trimmed"] != "", selected["trimmed"]), selected["original"])
+    outcome = (
+        F.when(F.col("inserted").isNotNull() & F.coalesce(selected == F.col("inserted"), F.lit(False)), "accept_unchanged")
+        .when(F.col("inserted").isNotNull(), "accepted_modified").when(F.col("open_event_num").isNull(), "request_without_suggestion")
+        .when(F.coalesce(F.col("close_source") == "user", F.lit(False)), "non_adoption").otherwise("presented_no_selection")
+    )
+    request_id = F.concat("session_id", F.lit(":request:"), F.format_string("%04d", F.col("window_id")))
+    return per.select("session_id", request_id.alias("request_id"), "request_event_num", "open_event_num", F.least("selects", F.lit(1)).cast("int").alias("selection_count"), outcome.alias("outcome"))
