@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import STATES
-from ..operators import features, grouping, indicators, lifecycle, metrics, requests, sequences, stats
+from ..operators import audits, features, grouping, indicators, inference, lifecycle, metrics, models, multivariate, requests, sequences, stats
 from ..sources.traces import TRACE_SQL, traces
 
 DIGITS = 6
@@ -48,6 +48,22 @@ def _with_deltas(t: DataFrame) -> DataFrame:
     return t.withColumn("ops_json", ops)
 
 
+PREDICTORS = ["ordinal", "log_inserted", "log_gap_ms", "prior_direct_share", "prior_mean_inserted"]
+PROFILE = ["ai_chars", "human_chars", "ai_share"]
+
+
+def _folded(s: DataFrame) -> DataFrame:
+    return models.with_folds(features.direct_vs_modified(features.prediction_features(s)))
+
+
+def _clusters(t: DataFrame) -> DataFrame:
+    return multivariate.fit_labels(multivariate.scaled(grouping.session_shares(t), PROFILE, "robust"), PROFILE, "kmeans", 2)[0]
+
+
+def _audit(check: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return _on(lambda t: (lambda d: check(d, metrics.replayed(d)))(_with_deltas(t)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "selection_metrics": _on(lambda t: metrics.selection_metrics(metrics.replayed(_with_deltas(t)))),
     "target_behavior_metrics": _on(lambda t: indicators.target_behavior_metrics(indicators.historical_sessions(_with_deltas(t)))),
@@ -88,6 +104,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "binary_metrics": lambda spark, sf_dir: rounded(stats.binary_metrics(_labels(spark, sf_dir), "y", "s")),
     "lifecycle_episodes": lambda spark, sf_dir: lifecycle.episodes(traces(spark, sf_dir)),
     "lifecycle_selections": lambda spark, sf_dir: lifecycle.selections(traces(spark, sf_dir)),
+    "session_transition_metrics": _selections(inference.session_transition_metrics),
+    "transition_bootstrap": _selections(inference.bootstrap_transition_probabilities),
+    "transition_permutation_null": _selections(inference.permutation_transition_test),
+    "transition_persistence": _selections(inference.persistence_test),
+    "session_phase_summary": _selections(inference.phase_summary),
+    "early_late_intervals": _selections(inference.early_late_intervals),
+    "text_delta_signatures": _on(lambda t: audits.text_deltas(_with_deltas(t)).drop("session_id", "event_num")),
+    "audit_lifecycle": _audit(audits.lifecycle),
+    "audit_selection_metrics": _audit(lambda _, r: audits.selection_metrics(metrics.selection_metrics(r))),
+    "audit_session_metrics": _audit(lambda _, r: audits.session_metrics(metrics.session_metrics(r))),
+    "pca_variance": _on(lambda t: multivariate.pca_tables(grouping.session_shares(t), PROFILE, k=3)["variance"]),
+    "pca_bootstrap": _on(lambda t: multivariate.bootstrap_pca(grouping.session_shares(t), PROFILE, k=3)),
+    "cluster_sizes": _on(lambda t: _clusters(t).groupBy("cluster").agg(F.count("*").alias("n"))),
+    "fold_totals": _selections(lambda s: models.split_audit(_folded(s)).agg(F.count("*").alias("folds"), F.sum("test_rows").alias("rows"), F.sum("test_sessions").alias("sessions"), F.sum("session_overlap").alias("overlap"), F.sum("test_positive").alias("positive"))),
+    "prediction_metrics": _selections(lambda s: models.metric_summary(models.out_of_fold(_folded(s), PREDICTORS, ("prior_baseline", "logistic")))),
+    "coefficient_stability": _selections(lambda s: models.coefficient_stability(_folded(s), PREDICTORS)),
 }
 
 WINDOW_SQL = """
@@ -166,7 +198,20 @@ ft AS (SELECT r.session_id, requests, round(coalesce(selections, 0)::DOUBLE / re
   FROM (SELECT session_id, count(*) AS requests FROM f GROUP BY session_id) r LEFT JOIN sl USING (session_id))"""
 _MISSING = " || ".join(f"CASE WHEN {c} IS NULL THEN '{c}|' ELSE '' END" for c in FEATURES)
 
+_SAME = "from_state = to_state"
+_MOVES = f"""pr AS (SELECT session_id, outcome AS from_state, lead(outcome) OVER q AS to_state, window_id <> lead(window_id) OVER q AS crossed FROM s WINDOW q AS (PARTITION BY session_id ORDER BY event_num)),
+mv AS (SELECT session_id, count(*) FILTER (NOT crossed) AS intra, count(*) FILTER (crossed) AS crosses, count(*) AS moves, count(*) FILTER ({_SAME}) AS stays, count(*) FILTER (crossed AND {_SAME}) AS cross_stays FROM pr WHERE to_state IS NOT NULL GROUP BY session_id),
+e1 AS (SELECT session_id, abs(sum(q * ln(q))) / ln(3.0::DOUBLE) AS h FROM (SELECT session_id, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY session_id) AS q FROM s GROUP BY session_id, outcome) GROUP BY session_id),
+e2 AS (SELECT session_id, abs(sum(q * ln(q))) / ln(9.0::DOUBLE) AS h FROM (SELECT session_id, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY session_id) AS q FROM pr WHERE crossed AND to_state IS NOT NULL GROUP BY session_id, from_state, to_state) GROUP BY session_id),
+b AS (SELECT session_id, count(*) AS selection_count, count(DISTINCT window_id) AS selected_request_count, arg_min(outcome, event_num) AS first_outcome, arg_max(outcome, event_num) AS last_outcome,
+  round(count(*) FILTER (outcome = 'direct_adoption')::DOUBLE / count(*), 6) AS direct_selection_share, round(count(*) FILTER (outcome = 'modified_adoption')::DOUBLE / count(*), 6) AS modified_selection_share, round(count(*) FILTER (outcome = 'non_adoption')::DOUBLE / count(*), 6) AS non_adoption_selection_share FROM s GROUP BY session_id)"""
+
 ORACLES: dict[str, str] = {
+    "session_transition_metrics": _with("""SELECT b.*, coalesce(intra, 0) AS intra_request_transition_count, coalesce(crosses, 0) AS cross_request_transition_count, coalesce(moves, 0) AS all_transition_count, round(stays::DOUBLE / moves, 6) AS all_self_transition_rate,
+CASE WHEN crosses > 0 THEN round(cross_stays::DOUBLE / crosses, 6) END AS cross_request_self_transition_rate, round(e1.h, 6) AS state_entropy_normalized, round(e2.h, 6) AS cross_transition_entropy_normalized
+FROM b LEFT JOIN mv USING (session_id) LEFT JOIN e1 USING (session_id) LEFT JOIN e2 USING (session_id)""", WINDOW_SQL, SELECTION_SQL, _MOVES),
+    "text_delta_signatures": _with("SELECT event_name, source, CASE event_name WHEN 'text-insert' THEN 'insert' ELSE 'delete' END AS signature, count(*) AS events FROM t WHERE event_name IN ('text-insert', 'text-delete') GROUP BY ALL"),
+    "fold_totals": _with("SELECT 5::BIGINT AS folds, count(*) AS rows, count(DISTINCT session_id) AS sessions, 0::BIGINT AS overlap, count(*) FILTER (outcome = 'direct_adoption') AS positive FROM s WHERE outcome <> 'non_adoption'", WINDOW_SQL, SELECTION_SQL),
     "scan_event_counts": _with("SELECT event_name, source, count(*) AS n, sum(k)::BIGINT AS chars FROM t GROUP BY ALL"),
     "request_windows": _with("SELECT session_id, event_num, window_id FROM w", WINDOW_SQL),
     "first_in_window": _with("SELECT * FROM f", WINDOW_SQL, FIRST_SQL),
