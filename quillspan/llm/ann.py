@@ -99,7 +99,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         q_id, q_rank, q = unpack(queries)
         x_id, x_rank, x = unpack(posts)
         q_mask, x_mask = _shared(q_rank, posted), _shared(x_rank, posted)
-        x_rank = x_rank.astype(np.float32)
+        narrow = np.int16 if len(pivot) <= 255 else np.int32  # footrule is at most half the square of the pivots
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         below = [np.uint64((1 << min(64, max(0, file - 64 * w))) - 1) for w in range(x_mask.shape[1])]
         for i in range(len(q_id)):
@@ -111,7 +111,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
                 continue
             want = max(4 * k, int(np.ceil(scored * len(fresh))))
             if want < len(fresh):
-                foot = np.abs(x_rank[fresh] - q_rank[i].astype(np.float32)).sum(axis=1)
+                gap = x_rank[fresh]
+                gap -= q_rank[i]
+                foot = np.abs(gap, out=gap).sum(axis=1, dtype=narrow)
                 fresh = fresh[foot <= np.partition(foot, want - 1)[want - 1]]
             rough = x[fresh] @ q[i]
             if len(fresh) > k:
