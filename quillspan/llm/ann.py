@@ -2,9 +2,10 @@
 
 Pivots are vectors drawn from the table. A vector is represented by the ranks of the pivots
 in order of nearness and posted in the inverted files of its POSTED nearest pivots. A query
-opens the files of its own nearest pivots, ranks what it finds there by footrule distance
-(the sum of differences of the pivots' ranks) and scores the nearest by footrule exactly.
-Files with many vectors or queries are split into tiles, which join like small files.
+opens the files of its own nearest pivots and scores every vector there exactly, once.
+Equal vectors are indexed once and asked once, so a group of copies neither fills the
+files nor gives several equal pivots. Files with many vectors or queries are split into
+tiles, which join like small files.
 """
 
 from __future__ import annotations
@@ -16,12 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, written
 
 PIVOTS, POSTED = 128, 18
-#: The part of a file's fresh vectors that a query scores exactly, the nearest by footrule.
-SCORED = 0.5
+#: Distinct vectors drawn for each pivot, and the cosine from which a vector is too near a chosen pivot to be one before others.
+DRAWN, SPREAD = 8, 0.9
+#: Parts in which the ids of one vector are looked through.
+ID_PARTS = 64
 TILE_VECTORS, TILE_QUERIES = 8192, 2048
+#: Queries that are scored together.
+BLOCK = 128
 
 
 def valid(column: str = "embedding") -> Column:
@@ -46,28 +51,50 @@ def _shared(ranks: np.ndarray, posted: int) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", *, pivots: int = PIVOTS, posted: int = POSTED, scored: float = SCORED) -> DataFrame:
+def spread_pivots(x: np.ndarray, pivots: int) -> np.ndarray:
+    """`pivots` of the unit vectors x, the first ones that lie apart (cosines below SPREAD), then the first of the others."""
+    apart: list[int] = []
+    near = np.full(len(x), -np.inf)
+    for i in range(len(x)):
+        if len(apart) < pivots and near[i] < SPREAD:
+            apart.append(i)
+            near = np.maximum(near, x @ x[i])
+    rest = np.setdiff1d(np.arange(len(x)), apart)
+    return x[np.concatenate([np.array(apart, np.int64), rest])[:pivots]]
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", *, pivots: int = PIVOTS, posted: int = POSTED) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for every row that the condition on vec_id picks, its k
     largest inner products with other rows, in double precision, nearest first, ties to the smaller vec_id.
 
     All rows are indexed and searched. Vectors that are null, empty, zero, or hold null or non-finite
     components, and rows without id, take no part; vectors of another length than the pivots' don't
     either. Rows that repeat an id are the same row's copies: a query never finds its own id, and an id
-    is found once, with its largest score. The pivots are the `pivots` vectors least by a hash of their
-    id, a bounded sample.
+    is found once, with its largest score. Of the ids that hold one vector only the k + 1 least can be among
+    the k nearest of a query, so no more are indexed. The pivots are drawn from the distinct vectors least by
+    hash, a bounded sample.
     """
     base = pick(vectors, vec_id=id_col, embedding=vector_col).withColumn("vec_id", F.col("vec_id").cast("long"))
     base = base.withColumn("embedding", F.col("embedding").cast("array<double>")).where(valid() & F.col("vec_id").isNotNull())
     base = base.withColumn("query", F.coalesce(queries, F.lit(False)))
     result = "query_id long, rank int, vec_id long, score double"
-    chosen = base.select("vec_id", "embedding").orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(pivots).collect()
+    key = ["h1", "h2"]  # 128 bits stand for a vector
+    base = base.withColumn("h1", F.xxhash64(F.lit(3), "embedding")).withColumn("h2", F.xxhash64(F.lit(11), "embedding"))
+    rows = written(base.groupBy("vec_id", *key).agg(F.bool_or("query").alias("query"), F.first("embedding").alias("embedding")), "vectors")
+    askers = rows.where("query").select(*key, F.col("vec_id").alias("query_id"))
+    ids = rows.select("vec_id", *key).withColumn("part", F.xxhash64(F.lit(7), "vec_id") % ID_PARTS)
+    for by in ([*key, "part"], key):  # a vector that many rows hold is first looked through in parts
+        ids = ids.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("at") <= k + 1).drop("at")
+    ids = ids.groupBy(*key).agg(F.collect_list("vec_id").alias("ids"))
+    distinct = rows.groupBy(*key).agg(F.first("embedding").alias("embedding"), F.bool_or("query").alias("query")).join(ids, key)
+    distinct = written(distinct, "distinct")
+    chosen = distinct.orderBy(*key).limit(DRAWN * pivots).select("embedding").collect()
     if not chosen:
         return vectors.sparkSession.createDataFrame([], result)
     dims = len(chosen[0]["embedding"])
-    pivot = np.array([r["embedding"] for r in chosen if len(r["embedding"]) == dims])
-    pivot /= np.sqrt((pivot * pivot).sum(axis=1, keepdims=True))
+    drawn = np.array([r["embedding"] for r in chosen if len(r["embedding"]) == dims])
+    pivot = spread_pivots(drawn / np.sqrt((drawn * drawn).sum(axis=1, keepdims=True)), pivots)
     posted = min(posted, len(pivot))
-    base = base.where(F.size("embedding") == dims)
 
     def represent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,58 +103,67 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
             x = batch["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
             ranks = permutation_ranks(x, pivot)
             files = np.argsort(ranks, axis=1, kind="stable")[:, :posted].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["query"], pa.array(list(files), pa.list_(pa.int32())), pa.array([r.tobytes() for r in ranks], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["vec_id", "query", "files", "ranks", "vector"])
+            yield pa.RecordBatch.from_arrays([batch["h1"], batch["h2"], batch["query"], batch["ids"], pa.array(list(files), pa.list_(pa.int32())), pa.array([m.tobytes() for m in _shared(ranks, posted)], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["h1", "h2", "query", "ids", "files", "mask", "vector"])
 
-    index = base.select("vec_id", "query", "embedding").mapInArrow(represent, "vec_id long, query boolean, files array<int>, ranks binary, vector binary")
+    index = distinct.where(F.size("embedding") == dims).select(*key, "query", "ids", "embedding").mapInArrow(represent, "h1 long, h2 long, query boolean, ids array<long>, files array<int>, mask binary, vector binary")
     index = index.withColumn("file", F.explode("files")).drop("files")
     counts = index.groupBy("file").agg(F.count("*").alias("n"), F.count_if("query").alias("q"))  # one row per pivot
     tiles = F.broadcast(counts.select("file", F.ceil(F.col("n") / TILE_VECTORS).cast("int").alias("tx"), F.greatest(F.lit(1), F.ceil(F.col("q") / TILE_QUERIES)).cast("int").alias("tq")))
-    index = index.join(tiles, "file").withColumn("h", F.abs(F.xxhash64(F.lit(5), "vec_id") % 1_000_003))
+    index = index.join(tiles, "file").withColumn("h", F.abs(F.xxhash64(F.lit(5), "h1") % 1_000_003))
     posts = index.withColumn("x", (F.col("h") % F.col("tx")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("tq") - 1)))
     asks = index.where("query").withColumn("q", (F.col("h") % F.col("tq")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("tx") - 1)))
-    need = ["file", "x", "q", "vec_id", "ranks", "vector"]
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         n = table.num_rows
-        return table["vec_id"].to_numpy(), np.frombuffer(b"".join(table["ranks"].to_pylist()), np.int16).reshape(n, -1), np.frombuffer(b"".join(table["vector"].to_pylist()), np.float64).reshape(n, dims)
+        return np.frombuffer(b"".join(table["mask"].to_pylist()), np.uint64).reshape(n, -1), np.frombuffer(b"".join(table["vector"].to_pylist()), np.float64).reshape(n, dims)
+
+    def nearest(q: np.ndarray, rough: np.ndarray, x: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k + 1 nearest ids and their scores; rough holds the scores but for rounding, -inf for vectors of earlier files."""
+        fresh, want = int((rough > -np.inf).sum()), k + 1
+        while True:
+            at = np.partition(rough, len(rough) - want)[len(rough) - want] if want < fresh else -np.inf
+            some = np.flatnonzero(rough >= at - 1e-9 * max(1.0, abs(at))) if want < fresh else np.flatnonzero(rough > -np.inf)
+            each = (x[some] * q).sum(axis=1)
+            found = np.concatenate([ids[ends[i] : ends[i + 1]] for i in some]) if len(some) else ids[:0]
+            score = np.repeat(each, ends[some + 1] - ends[some])
+            order = np.lexsort((found, -score))
+            first = np.sort(np.unique(found[order], return_index=True)[1])  # an id once, with its largest score
+            if len(first) > k or want >= fresh:
+                top = order[first[: k + 1]]
+                return found[top], score[top]
+            want *= 4  # vectors of few ids
 
     def join(key: tuple, queries: pa.Table, posts: pa.Table) -> pa.Table:
         if not queries.num_rows or not posts.num_rows:
             return schema.empty_table()
         file = key[0].as_py()
-        q_id, q_rank, q = unpack(queries)
-        x_id, x_rank, x = unpack(posts)
-        q_mask, x_mask = _shared(q_rank, posted), _shared(x_rank, posted)
-        narrow = np.int16 if len(pivot) <= 255 else np.int32  # footrule is at most half the square of the pivots
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        (q_mask, q), (x_mask, x) = unpack(queries), unpack(posts)
+        held = posts["ids"].combine_chunks()
+        ids = held.flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy(zero_copy_only=False))])
+        h1, h2 = queries["h1"].to_numpy(), queries["h2"].to_numpy()
+        out: list[tuple[np.ndarray, ...]] = []
         below = [np.uint64((1 << min(64, max(0, file - 64 * w))) - 1) for w in range(x_mask.shape[1])]
-        for i in range(len(q_id)):
-            both = np.zeros(len(x_id), np.uint64)
+        for at in range(0, len(q), BLOCK):
+            rough = q[at : at + BLOCK] @ x.T
             for w, bits in enumerate(below):
-                both |= x_mask[:, w] & (q_mask[i, w] & bits)
-            fresh = np.flatnonzero((both == 0) & (x_id != q_id[i]))  # no earlier file holds both
-            if not len(fresh):
-                continue
-            want = max(4 * k, int(np.ceil(scored * len(fresh))))
-            if want < len(fresh):
-                gap = x_rank[fresh]
-                gap -= q_rank[i]
-                foot = np.abs(gap, out=gap).sum(axis=1, dtype=narrow)
-                fresh = fresh[foot <= np.partition(foot, want - 1)[want - 1]]
-            rough = x[fresh] @ q[i]
-            if len(fresh) > k:
-                at = np.partition(rough, len(rough) - k)[len(rough) - k]
-                fresh = fresh[rough >= at - 1e-9 * max(1.0, abs(at))]
-            score = (x[fresh] * q[i]).sum(axis=1)
-            top = np.lexsort((x_id[fresh], -score))[:k]
-            out.append((np.full(len(top), q_id[i]), x_id[fresh][top], score[top]))
-        if not out:
-            return schema.empty_table()
-        return pa.Table.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], schema=schema)
-
-    renamed = lambda df: df.select(*[F.col(c).alias(f"{c}_") for c in need]).toDF(*need)
-    pairs = renamed(asks).groupBy("file", "x", "q").cogroup(renamed(posts).groupBy("file", "x", "q")).applyInArrow(join, "query_id long, vec_id long, score double")
+                if bits:  # no earlier file holds both
+                    rough[((q_mask[at : at + BLOCK, w] & bits)[:, None] & x_mask[:, w]) != 0] = -np.inf
+            for i in range(len(rough)):
+                found, score = nearest(q[at + i], rough[i], x, ids, ends)
+                out.append((np.full(len(found), h1[at + i]), np.full(len(found), h2[at + i]), found, score))
+        return pa.Table.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(4)], schema=schema)
+
+    def renamed(df: DataFrame, need: list[str]) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{c}_") for c in need]).toDF(*need).groupBy("file", "x", "q")
+
+    pairs = renamed(asks, ["file", "x", "q", *key, "mask", "vector"]).cogroup(renamed(posts, ["file", "x", "q", "ids", "mask", "vector"])).applyInArrow(join, "h1 long, h2 long, vec_id long, score double")
+    pairs = pairs.groupBy(*key, "vec_id").agg(F.max("score").alias("score"))
+    # a query's own id is among the k + 1 nearest of its vector at most once
+    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("score").desc(), "vec_id"))).where(F.col("rank") <= k + 1)
+    pairs = pairs.groupBy(*key).agg(F.collect_list(F.struct("vec_id", "score")).alias("found"))
+    pairs = askers.join(pairs, key).select("query_id", F.explode("found").alias("m")).select("query_id", "m.vec_id", "m.score").where("vec_id <> query_id")
     pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

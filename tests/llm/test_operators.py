@@ -147,6 +147,51 @@ def test_neighbours(vectors):
     assert ann.search(table.where("false"), F.lit(True)).count() == 0
 
 
+def copied(spark, noise):
+    """The embeddings of sf0.1, a third of whose rows are copies of one vector, with so much noise."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    rng = np.random.default_rng(5)
+    group = rng.random(len(x)) < 1 / 3
+    x[group] = x[7] + rng.normal(scale=noise, size=(group.sum(), x.shape[1])) if noise else x[7]
+    return ids, x, group, spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("noise", [0, 0.02])
+def test_neighbours_beside_copies(spark, noise):
+    ids, x, group, table = copied(spark, noise)
+    asked = [int(i) for i in ids if i % 40 == 0]
+    got = {}
+    for r in ann.search(table, F.col("vec_id") % 40 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(got) == asked
+    right = {True: [], False: []}
+    for q, found in got.items():
+        at = int(np.flatnonzero(ids == q)[0])
+        assert [k for k, _, _ in sorted(found)] == list(range(1, 21)) and q not in {v for _, v, _ in found}
+        least = np.sort((x @ x[at])[ids != q])[-20]
+        right[bool(group[at])].append(np.mean([s >= least - 1e-9 for _, _, s in found]))
+    print("recall outside and inside the group", np.mean(right[False]), np.mean(right[True]))
+    assert np.mean(right[False]) >= 0.95 and np.mean(right[True]) >= 0.95
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4))
+    rows = [(i % 40, v.tolist()) for i, v in enumerate(x)] + [(i, x[3].tolist()) for i in range(50, 90)] * 2
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 7 == 3, k=10, pivots=8, posted=8).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in {i for i, _ in rows if i % 7 == 3}:
+        best = {}
+        for a, v in rows:
+            for b, w in rows:
+                if a == q != b:
+                    best[b] = max(best.get(b, -1e9), float((np.array(v) * np.array(w)).sum()))
+        want = sorted((-s, b) for b, s in best.items())[:10]
+        assert [v for _, v, _ in sorted(got[q])] == [b for _, b in want]
+
+
 def test_quality(spark, docs):
     bad = [(i, "### $$$ %%% " * 20, None) for i in range(200, 215)]
     more = docs.select("doc_id", "text", "source").union(spark.createDataFrame(bad, "doc_id long, text string, source string"))
