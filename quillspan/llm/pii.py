@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Seeds are the spans of four base patterns (e-mail, IP, payment card, phone). The words
-before each token that holds a digit or an at sign are its lexical pattern (two words and
-the token's shape); tokens are the instances. Over the graph of patterns and instances Spark
+Seeds are the spans of four base patterns (e-mail, IP, payment card, phone). Instances are
+the seeds as a whole, and elsewhere each token that holds a digit or an at sign and each run
+of digit groups. The one and the two words before an instance, or the text's start, are its
+lexical patterns, each with the instance's shape. Over the graph of patterns and instances Spark
 scores in turn: a pattern by the share of its instances that are known, an instance by the
 patterns that extract it. Instances that patterns of high confidence agree on become known,
 and the spans that no base pattern covers are added.
@@ -14,7 +15,7 @@ the last match (where leftmost matching would start as well).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick, written
@@ -29,34 +30,46 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 SPACES = r"\x20\x09-\x0D"
 #: A token that may be an identifier: a run without white space that holds a digit or an at sign.
 TOKEN = rf"(?<![^{SPACES}])[^{SPACES}0-9@]*+[0-9@][^{SPACES}]*+"
-#: Code points before a token in which its two words are looked for.
+#: Digit groups with single spaces between them, like (743) 555-3824.
+GROUP = r"[+(]*+[0-9][0-9().+/-]*+(?![\p{L}@])"
+GROUPS = rf"(?<![^{SPACES}:=]){GROUP}(?:\x20{GROUP})++"
+#: What is cut off a token: a label and punctuation before it, punctuation behind it.
+LEAD = r"^(?:\p{L}++[:=]++)?[^\p{L}0-9@+]*+"
+TAIL = r"(?<![^\p{L}0-9])[^\p{L}0-9]++\z"
+#: Code points before an instance in which its two words are looked for.
 CONTEXT = 64
 #: Fewest distinct known instances of a pattern, its least share of known ones, and the rounds.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.9, 2
 
 SPAN = "struct<kind:string,start:int,end:int>"
+INSTANCE = "struct<kind:string,start:int,end:int,token:string,context:string>"
+
+
+def _last(text: Column) -> Column:
+    return F.substring(text, -CONTEXT, CONTEXT)
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, text, before>> of a pattern's matches: the pieces between them give their places (code points)."""
+    """array<struct<start, text, context>> of a pattern's matches: the pieces between them give their places (code points); context is the text's last CONTEXT code points before the match."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(pieces.alias("before"), found.alias("text"))
-    empty = F.array().cast("array<struct<start:int,text:string,before:string>>")
+    empty = F.array().cast("array<struct<start:int,text:string,context:string>>")
+    context = lambda acc, p: _last(F.concat(acc["tail"], p["before"]))
     step = lambda acc, p: F.struct(
         (acc["at"] + F.length(p["before"]) + F.coalesce(F.length(p["text"]), F.lit(0))).alias("at"),
-        F.when(p["text"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p["before"])).alias("start"), p["text"].alias("text"), p["before"].alias("before"))))).alias("out"),
+        _last(F.concat(context(acc, p), F.coalesce(p["text"], F.lit("")))).alias("tail"),
+        F.when(p["text"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p["before"])).alias("start"), p["text"].alias("text"), context(acc, p).alias("context"))))).alias("out"),
     )
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), empty.alias("out"))
     return F.when(F.size(found) == 0, empty).otherwise(F.aggregate(pairs, start, step, lambda acc: acc["out"]))
 
 
-def _flat(text: Column, pattern: str) -> Column:
-    """Like _matches without the pieces: array<struct<start, text>>."""
-    return F.transform(_matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), m["text"].alias("text")))
+def _spans(kind: str, matches: Column) -> Column:
+    return F.transform(matches, lambda m: _instance(F.lit(kind), m["start"], m["text"], m["context"]))
 
 
-def _spans(kind: str, matches: Column) -> Column:
-    return F.transform(matches, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].cast("int").alias("start"), (m["start"] + F.length(m["text"])).cast("int").alias("end")))
+def _instance(kind: Column, start: Column, token: Column, context: Column) -> Column:
+    return F.struct(kind.alias("kind"), start.cast("int").alias("start"), (start + F.length(token)).cast("int").alias("end"), token.alias("token"), context.alias("context"))
 
 
 def _luhn(digits: Column) -> Column:
@@ -72,17 +85,17 @@ def _digits(text: Column) -> Column:
 
 
 def base_spans(text: Column) -> dict[str, Column]:
-    """The base spans of each kind, in order: array<struct<kind, start, end>>."""
-    none = F.array().cast(f"array<{SPAN}>")
+    """The base spans of each kind, in order: array<struct<kind, start, end, token, context>>."""
+    none = F.array().cast(f"array<{INSTANCE}>")
     ip_ok = lambda m: m["text"].rlike(rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$")
     # digits with single separators: the parts of a run between two or more separators
-    parts = F.flatten(F.transform(_flat(text, DIGIT_RUN), lambda run: F.transform(_flat(run["text"], r"(?:[^ -]|(?<![ -])[ -](?![ -]))++"), lambda m: F.struct((run["start"] + m["start"]).alias("start"), m["text"].alias("text")))))
+    parts = F.flatten(F.transform(_matches(text, DIGIT_RUN), lambda run: F.transform(_matches(run["text"], r"(?:[^ -]|(?<![ -])[ -](?![ -]))++"), lambda m: F.struct((run["start"] + m["start"]).alias("start"), m["text"].alias("text"), _last(F.concat(run["context"], m["context"])).alias("context")))))
     card_ok = lambda m: F.length(_digits(m["text"])).between(16, 19)
     cards = F.filter(F.filter(parts, card_ok), lambda m: _luhn(_digits(m["text"])))
-    phones = F.filter(_flat(text, PHONE), lambda m: F.length(_digits(m["text"])).between(8, 15))
+    phones = F.filter(_matches(text, PHONE), lambda m: F.length(_digits(m["text"])).between(8, 15))
     return {
-        "email": F.when(F.contains(text, F.lit("@")), _spans("email", _flat(text, EMAIL))).otherwise(none),
-        "ip": F.when(text.rlike(IP), _spans("ip", F.filter(_flat(text, IP), ip_ok))).otherwise(none),
+        "email": F.when(F.contains(text, F.lit("@")), _spans("email", _matches(text, EMAIL))).otherwise(none),
+        "ip": F.when(text.rlike(IP), _spans("ip", F.filter(_matches(text, IP), ip_ok))).otherwise(none),
         "card": F.when(text.rlike(r"[0-9][0-9 -]{14}"), _spans("card", cards)).otherwise(none),
         "phone": F.when(F.contains(text, F.lit("+")), _spans("phone", phones)).otherwise(none),
     }
@@ -94,21 +107,23 @@ def _shape(token: Column) -> Column:
 
 
 def _instances(text: Column) -> Column:
-    """array<struct<start, end, token, pattern>> of the tokens that may be identifiers, trimmed of outer punctuation."""
-    inner = lambda m: F.regexp_extract(m["text"], r"^[^\p{L}0-9@+]*+(.*)$", 1)
-    trimmed = lambda m: F.regexp_replace(inner(m), r"[^\p{L}0-9]++$", "")
-    words = lambda m: F.regexp_extract(F.lower(F.right(m["before"], F.lit(CONTEXT))), rf"([^{SPACES}]++)[{SPACES}]++([^{SPACES}]++)[{SPACES}]*+$", 0)
-    found = F.transform(
-        _matches(text, TOKEN),
-        lambda m: F.struct(
-            (m["start"] + F.length(m["text"]) - F.length(inner(m))).cast("int").alias("start"),
-            (m["start"] + F.length(m["text"]) - F.length(inner(m)) + F.length(trimmed(m))).cast("int").alias("end"),
-            trimmed(m).alias("token"),
-            F.concat_ws(" ", F.split(F.trim(words(m)), rf"[{SPACES}]+"), _shape(trimmed(m))).alias("pattern"),
-            F.length(words(m)).alias("context"),
-        ),
-    )
-    return F.filter(found, lambda m: (F.length(m["token"]) >= 6) & (m["context"] > 0) & m["token"].rlike("[0-9]"))
+    """Like the base spans, without kind: the tokens and digit groups that may be identifiers, trimmed of outer punctuation."""
+    inner = lambda m: F.regexp_replace(m["text"], LEAD, "")
+    cut = lambda m: F.length(m["text"]) - F.length(inner(m))
+    none = F.lit(None).cast("string")
+    tokens = F.transform(_matches(text, TOKEN), lambda m: _instance(none, m["start"] + cut(m), F.regexp_replace(inner(m), TAIL, ""), _last(F.concat(m["context"], F.substring(m["text"], F.lit(1), cut(m))))))
+    groups = F.transform(_matches(text, GROUPS), lambda m: _instance(none, m["start"], F.regexp_replace(m["text"], r"(?<=[0-9])[^0-9]++\z", ""), m["context"]))
+    return F.filter(F.concat(tokens, groups), lambda m: m["token"].rlike("[0-9@]"))
+
+
+def _patterns(start: Column, context: Column) -> Column:
+    """The last word and the last two words before an instance; ^ stands for the text's start, and a word with a digit or an at sign for its shape."""
+    words = F.filter(F.split(F.lower(context), rf"[{SPACES}]+"), lambda w: w != "")
+    bare = lambda w: F.regexp_replace(w, r"^[^\p{L}0-9@]+|[^\p{L}0-9@]+$", "")
+    words = F.transform(words, lambda w: F.when(bare(w) == "", w).when(w.rlike("[0-9@]"), _shape(bare(w))).otherwise(bare(w)))
+    words = F.when(start <= CONTEXT, F.concat(F.array(F.lit("^")), words)).otherwise(words)
+    few = lambda n: F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - (n - 1)), F.lit(n)), " ")
+    return F.filter(F.array_distinct(F.array(few(1), few(2))), lambda p: p != "")
 
 
 def _overlaps(span: Column, other: Column) -> Column:
@@ -144,12 +159,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     spans = base_spans(F.col("text"))
     hash_ = F.xxhash64("doc_id", "text", F.octet_length("text"))
-    scanned = base.select("doc_id", hash_.alias("row_hash"), F.concat(*[spans[k] for k in KINDS]).alias("base"), F.when(F.col("text").rlike("[0-9@]"), _instances(F.col("text"))).alias("instances"))
+    scanned = base.select("doc_id", hash_.alias("row_hash"), F.concat(*[spans[k] for k in KINDS]).alias("seeds"), F.when(F.col("text").rlike("[0-9@]"), _instances(F.col("text"))).otherwise(F.array().cast(f"array<{INSTANCE}>")).alias("instances"))
     scanned = written(scanned, "pii")
-    marked = F.transform(F.col("instances"), lambda m: m.withField("kind", F.get(F.filter(F.col("base"), lambda b: _overlaps(m, b)), F.lit(0))["kind"]))
-    cells = scanned.where(F.size("instances") > 0).select("row_hash", F.explode(marked).alias("m")).select("row_hash", "m.start", "m.end", "m.token", "m.pattern", "m.kind")
-    new = _known(cells.select("token", "pattern", "kind"))
-    added = cells.where("kind is null").select("row_hash", "start", "end", "token").distinct().join(new, "token").groupBy("row_hash").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    other = F.filter("instances", lambda m: ~F.exists("seeds", lambda b: _overlaps(m, b)))
+    cells = scanned.select("row_hash", F.explode(F.concat("seeds", other)).alias("m")).select("row_hash", "m.*")
+    scanned = scanned.withColumn("base", F.transform("seeds", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    edges = cells.select("token", "kind", F.explode(_patterns(F.col("start"), F.col("context"))).alias("pattern"))
+    new = _known(edges.withColumn("pattern", F.concat_ws(" ", "pattern", _shape(F.col("token")))))
+    added = cells.where("kind is null").select("row_hash", "start", "end", "token").distinct().join(new, "token")
+    # of digit groups and a token in them the longer
+    before = Window.partitionBy("row_hash").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    added = added.withColumn("reached", F.max("end").over(before)).where(F.coalesce(F.col("end") > F.col("reached"), F.lit(True))).groupBy("row_hash").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     out = scanned.select("doc_id", "row_hash", "base").join(added, "row_hash", "left")
     every = F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))
     order = lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).cast("int").alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))

@@ -247,6 +247,35 @@ def test_pii(spark, docs, rows):
     assert pii.find_pii(empty(docs)).count() == 0
 
 
+def payment_cards(n, rng):
+    """n numbers of 16 digits in groups of four that pass the check, and one that doesn't."""
+    out = []
+    while len(out) < n + 1:
+        d = "".join(rng.choice("0123456789") for _ in range(16))
+        if luhn(d) == (len(out) < n):
+            out.append(" ".join(d[i : i + 4] for i in range(0, 16, 4)))
+    return out
+
+
+def found_by_context(spark, texts):
+    """Each text with the spans that no base pattern covers, as (kind, text)."""
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {texts[r.doc_id]: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans if s not in r.base] for r in rows}
+
+
+@pytest.mark.parametrize("form", ["pay by card {} today", "Email: a1@b.com Card: {}", "{}", "😀 card:{}."])
+def test_pii_spans_are_instances(spark, form):
+    cards = payment_cards(12, random.Random(6))
+    got = found_by_context(spark, [form.format(c) for c in cards])
+    assert [x for x in got.values() if x] == [[("card", cards[-1])]]
+
+
+def test_pii_patterns(spark):
+    text = "Phone: a1@b.com b@c.d at x"
+    got = spark.createDataFrame([(text,)], "t string").select(F.transform(pii._instances(F.col("t")), lambda m: F.struct(m["token"], pii._patterns(m["start"], m["context"])))).first()[0]
+    assert [tuple(x) for x in got] == [("a1@b.com", ["phone", "^ phone"]), ("b@c.d", ["a9@a.a", "phone a9@a.a"])]
+
+
 @pytest.mark.parametrize("block", [3, 1000])
 def test_minhash(docs, rows, block, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", block)
