@@ -3,10 +3,10 @@
 Seeds are the spans of four base patterns (e-mail, IP, payment card, phone). Instances are
 the seeds as a whole, and elsewhere each token that holds a digit or an at sign and each run
 of digit groups. The one and the two words before an instance, or the text's start, are its
-lexical patterns, each with the instance's shape. Over the graph of patterns and instances Spark
-scores in turn: a pattern by the share of its instances that are known, an instance by the
-patterns that extract it. Instances that patterns of high confidence agree on become known,
-and the spans that no base pattern covers are added.
+lexical patterns. Over the graph of patterns and instances Spark scores in turn: a pattern by
+the kinds of its known instances (unknown ones are unlabelled, not wrong), an instance by its
+best pattern and by how its characters suit the seeds of that kind. Instances of high score
+become known until none is new, and the spans that no base pattern covers are added.
 
 The base patterns are written so that Java's matcher neither recurses nor goes back over a
 long run: possessive repeats, and a start that is the run's first character or the end of
@@ -15,6 +15,8 @@ the last match (where leftmost matching would start as well).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ LEAD = r"^(?:\p{L}++[:=]++)?[^\p{L}0-9@+]*+"
 TAIL = r"(?<![^\p{L}0-9])[^\p{L}0-9]++\z"
 #: Code points before an instance in which its two words are looked for.
 CONTEXT = 64
-#: Fewest distinct known instances of a pattern, its least share of known ones, and the rounds.
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.9, 2
+#: Fewest distinct known instances of a pattern, the least share of one kind among them, and the least score of a new instance.
+SUPPORT, CONFIDENCE, SCORE = 5, 0.9, 0.9
 
 SPAN = "struct<kind:string,start:int,end:int>"
 INSTANCE = "struct<kind:string,start:int,end:int,token:string,context:string>"
@@ -130,22 +132,56 @@ def _overlaps(span: Column, other: Column) -> Column:
     return (span["start"] < other["end"]) & (other["start"] < span["end"])
 
 
+def _features(token: Column) -> Column:
+    """What a token's characters say of its kind, whatever their order: at sign, letters, points and number of digits."""
+    digits = F.length(F.regexp_replace(token, "[^0-9]", ""))
+    bucket = sum(((digits >= n).cast("int") for n in (1, 4, 7, 9, 12, 16, 20)), F.lit(0))
+    points = F.least(F.length(F.regexp_replace(token, r"[^.]", "")), F.lit(3))
+    letters = token.rlike(r"\p{L}").cast("int")
+    return F.array(*[F.concat(F.lit(name), value.cast("string")) for name, value in (("at", F.contains(token, F.lit("@")).cast("int")), ("letters", letters), ("points", points), ("digits", bucket))])
+
+
+def _suits(tokens: DataFrame) -> dict[str, dict[str, float]]:
+    """For each kind, the log ratio of a feature's share among the seeds of the kind and among all tokens, smoothed by one."""
+    rows = tokens.withColumn("feature", F.explode(F.concat(F.array(F.lit("")), _features(F.col("token"))))).groupBy("kind", "feature").agg(F.count("*").alias("n")).collect()
+    sizes = {"at": 2, "letters": 2, "points": 4, "digits": 8}
+    share = lambda n, total, feature: (n + 1) / (total + sizes[feature.rstrip("0123456789")])
+    of = lambda feature, *kinds: sum(r["n"] for r in rows if r["feature"] == feature and (not kinds or r["kind"] in kinds))
+    every = [f"{name}{i}" for name, size in sizes.items() for i in range(size)]
+    return {kind: {f: math.log(share(of(f, kind), of("", kind), f) / share(of(f), of(""), f)) for f in every} for kind in KINDS}
+
+
 def _known(instances: DataFrame) -> DataFrame:
-    """(token, kind) pairs that patterns of high confidence discover: the bootstrap over the pattern-instance graph.
+    """(token, kind) pairs, seeds and what the bootstrap over the pattern-instance graph discovers.
 
-    instances: token, pattern and kind (of the base span that covers the token, else null).
-    Each distinct (pattern, token) edge counts once, so copies of a document add nothing.
+    instances: token, pattern and kind (of the base span that it is, else null). Each distinct
+    (pattern, token) edge counts once, so copies of a document add nothing. A pattern is of a kind if at
+    least SUPPORT of its known tokens and a share of CONFIDENCE of them are, and the kind is no rarer
+    after it than among all tokens; its confidence is hits / (known + 1). The odds of a token are those of
+    its best pattern times the ratios by which its features are commoner among the kind's seeds.
     """
     edges = written(instances.groupBy("pattern", "token").agg(F.max("kind").alias("kind")), "edges")
-    found = edges.where("kind is not null").groupBy("token").agg(F.max("kind").alias("kind"))
-    for _ in range(ROUNDS):
-        scored = edges.select("pattern", "token").join(found, "token", "left").groupBy("pattern").agg(F.count("*").alias("n"), F.count("kind").alias("hits"), F.mode("kind", True).alias("kind"))
-        good = scored.where((F.col("hits") >= SUPPORT) & (F.col("hits") >= CONFIDENCE * F.col("n"))).select("pattern", "kind", (F.col("hits") / F.col("n")).alias("share"))
-        # an instance's score is the noisy or of its patterns
-        more = edges.where("kind is null").select("pattern", "token").join(good, "pattern").groupBy("token").agg(F.max_by("kind", F.struct("share", "kind")).alias("kind"), (1 - F.product(1 - F.col("share"))).alias("score")).where(F.col("score") >= CONFIDENCE).select("token", "kind")
-        found = written(found.unionByName(more).groupBy("token").agg(F.max("kind").alias("kind")), "known")
-    seeds = edges.where("kind is not null").select("token").distinct()
-    return found.join(seeds, "token", "left_anti")
+    tokens = written(edges.groupBy("token").agg(F.max("kind").alias("kind")), "tokens")
+    suits = _suits(tokens)
+    weight = F.create_map(*[F.lit(x) for kind, of in suits.items() for f, v in of.items() for x in (f"{kind} {f}", v)])
+    suit = F.aggregate(_features(F.col("token")), F.lit(0.0), lambda a, f: a + weight[F.concat_ws(" ", "kind", f)])
+    found, total = tokens.where("kind is not null"), tokens.count()
+    while total:
+        base = {r["kind"]: r["count"] / total for r in found.groupBy("kind").count().collect()}
+        if not base:
+            break
+        labelled = edges.select("pattern", "token").join(found, "token", "left")
+        scored = labelled.groupBy("pattern").agg(F.count("*").alias("n"), F.count("kind").alias("labelled"), F.mode("kind", True).alias("kind"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS])
+        scored = scored.withColumn("hits", F.greatest(*[F.col(f"n_{k}") for k in KINDS]))
+        usual = F.create_map(*[F.lit(x) for kind, share in base.items() for x in (kind, share)])[F.col("kind")]
+        good = scored.where((F.col("hits") >= SUPPORT) & (F.col("hits") >= CONFIDENCE * F.col("labelled")) & (F.col("hits") >= usual * F.col("n"))).select("pattern", "kind", F.log(F.col("hits") / (F.col("labelled") + 1 - F.col("hits"))).alias("odds"))
+        best = edges.select("pattern", "token").join(good, "pattern").join(found.select("token"), "token", "left_anti").groupBy("token", "kind").agg(F.max("odds").alias("odds"))
+        best = best.withColumn("odds", F.col("odds") + suit).where(F.col("odds") >= math.log(SCORE / (1 - SCORE)))
+        more = written(best.groupBy("token").agg(F.max_by("kind", F.struct("odds", "kind")).alias("kind")), "more")
+        if more.isEmpty():
+            break
+        found = written(found.unionByName(more), "known")
+    return found
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,7 +201,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     cells = scanned.select("row_hash", F.explode(F.concat("seeds", other)).alias("m")).select("row_hash", "m.*")
     scanned = scanned.withColumn("base", F.transform("seeds", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
     edges = cells.select("token", "kind", F.explode(_patterns(F.col("start"), F.col("context"))).alias("pattern"))
-    new = _known(edges.withColumn("pattern", F.concat_ws(" ", "pattern", _shape(F.col("token")))))
+    new = _known(edges)
     added = cells.where("kind is null").select("row_hash", "start", "end", "token").distinct().join(new, "token")
     # of digit groups and a token in them the longer
     before = Window.partitionBy("row_hash").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)

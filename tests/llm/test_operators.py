@@ -276,6 +276,20 @@ def test_pii_patterns(spark):
     assert [tuple(x) for x in got] == [("a1@b.com", ["phone", "^ phone"]), ("b@c.d", ["a9@a.a", "phone a9@a.a"])]
 
 
+def test_pii_discovers_by_context(spark):
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    seeds = [f"please call +1-555-{digits(3)}-{digits(4)} now" for _ in range(20)] + [f"write to {word()}@{word()}.com today" for _ in range(20)]
+    hidden = [("phone", f"555-{digits(3)}-{digits(4)}", "please call {} now") for _ in range(20)] + [("email", f"{word()}@{word()}", "write to {} today") for _ in range(20)]
+    # a context that only what is found holds: known in the second round
+    chained = [("phone", hidden[i][1], "reach me under {} ok") for i in range(8)] + [("phone", f"(555) {digits(3)}-{digits(4)}", "reach me under {} ok")]
+    other = [f"the {word()} cost {digits(2)} in {rng.randrange(1900, 2020)} for {digits(3)} of them" for _ in range(150)] + [f"please call {i} people" for i in range(2, 8)]
+    planted = {form.format(x): (kind, x) for kind, x, form in hidden + chained}
+    got = found_by_context(spark, seeds + list(planted) + other)
+    assert {t: x for t, x in got.items() if x} == {t: [x] for t, x in planted.items()}
+
+
 @pytest.mark.parametrize("block", [3, 1000])
 def test_minhash(docs, rows, block, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", block)
