@@ -266,27 +266,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(sign(real), "signed")
     members = signed.where("n > 0")
     first = written(members.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "first")
+    # a text goes by its least id, or by a number in the order of these where texts share one
+    clash = not first.groupBy("doc_id").count().where("count > 1").isEmpty()
+    first = first.withColumn("class_id", F.col("doc_id"))
+    if clash:
+        first = written(first.orderBy("doc_id", "text_key").withColumn("doc_id", F.monotonically_increasing_id()), "first")
     bands = _bands(first)
     shared = bands.groupBy("band").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
     bands = written(bands.join(shared.drop("n"), "band").select("band", "doc_id", "n", "low"), "bands")
     pairs = bands.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-    # one text per id: of rows that repeat an id, the least; only documents that share a band are looked at again
-    texts = real.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(signed) else real
-    bags = written(_bags(texts.join(bands.select("doc_id").distinct(), "doc_id", "left_semi")), "bags")
+    # only texts that share a band are looked at again
+    need = first.join(bands.select("doc_id").distinct(), "doc_id", "left_semi").select("class_id", "text_key", "doc_id")
+    texts = real.withColumnRenamed("doc_id", "class_id").join(need, "class_id").where(F.unhex(F.sha2(F.col("text").cast("binary"), 256)) == F.col("text_key"))
+    texts = texts.groupBy("doc_id").agg(F.first("text").alias("text")) if _repeats(signed) else texts
+    bags = written(_bags(texts), "bags")
     links = written(_verified(pairs, bags, threshold), "links")
     roots = components(links)
     labelled = bands.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
     more = written(_linked_in_bands(written(labelled, "labelled"), bags, threshold), "links")
     if not more.isEmpty():
         roots = components(links.union(more))
-    classes = members.join(first.select("text_key", F.col("doc_id").alias("class_id")), "text_key").select("doc_id", "class_id")
-    named = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
-    named = named.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min(F.coalesce("root", "class_id")).alias("component_id"))
+    classes = members.select("text_key", F.col("doc_id").alias("id")).join(first.select("text_key", F.col("doc_id").alias("node"), "class_id"), "text_key")
+    named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if clash:
+        named = named.join(first.select(F.col("doc_id").alias("root"), F.col("class_id").alias("least")), "root").withColumn("root", F.col("least"))
+    named = named.groupBy(F.col("id").alias("doc_id")).agg(F.min("class_id").alias("class_id"), F.min("root").alias("component_id"))
     out = base.select("doc_id").join(named, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _repeats(signed: DataFrame) -> bool:
-    """Whether some id is held by rows of unlike texts."""
-    return not signed.groupBy("doc_id").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.count("*").alias("n")).where("a <> b or n > 1").isEmpty()
+    """Whether some row of an id and a text is repeated."""
+    return not signed.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()

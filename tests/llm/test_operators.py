@@ -306,6 +306,19 @@ def test_minhash(docs, rows, block, monkeypatch):
     assert minhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_minhash_unlike_texts_of_an_id(spark):
+    rng = random.Random(9)
+    a, b, c, d = ([f"{x}{rng.randrange(10**6)}" for _ in range(80)] for x in "abcd")
+    near = lambda words: " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(b)), (7, near(b)), (3, " ".join(b)), (4, " ".join(c)), (4, " ".join(d)), (9, " ".join(d)), (8, near(d)), (5, near(c)), (6, " ".join(d[::-1]))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 7: 1, 3: 1, 4: 4, 9: 4, 8: 4, 5: 4, 6: 6}
+    # here no two texts have the same least id, but 2 holds two texts
+    rows = [(1, " ".join(a)), (2, " ".join(a)), (2, " ".join(b)), (7, near(b))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 7: 2}
+
+
 def test_links_within_bands(spark, monkeypatch):
     """All documents in one band, no links yet: blocks find what all pairs find."""
     rng = random.Random(7)
