@@ -183,11 +183,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chosen by a hash of the id among those that aren't held out (crc32 of the id as text, mod 3, is 1).
 
     Rows without a language, id or text teach nothing; without any other row the network knows
-    no language, and all documents come out as `und`.
+    no language, and all documents come out as `und`. More than most_languages languages are refused.
     """
     base = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where("lang is not null and text is not null and doc_id is not null")
     base = base.where(~held_out()).where(F.col("lang") != UNKNOWN)
-    counts = {r["lang"]: r["count"] for r in base.groupBy("lang").count().limit(most_languages).collect()}
+    counts = {r["lang"]: r["count"] for r in base.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not counts:
         return Network.fresh([], 4, 0)
     spark = docs.sparkSession

@@ -85,6 +85,12 @@ def test_language(docs, rows):
     assert language_id.identify_languages(empty(docs), language_id.learn(empty(docs))).count() == 0
 
 
+def test_too_many_languages(docs):
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        language_id.learn(docs, most_languages=1)
+    assert language_id.learn(docs, most_languages=2).labels
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language_id.identify_languages(docs, language_id.learn(docs)).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null")
