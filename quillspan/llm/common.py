@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,26 +18,41 @@ from pyspark.sql import functions as F
 NULL_ID = np.iinfo(np.int64).max
 #: Cached words per Python worker; the cache is emptied beyond it.
 CACHE_WORDS = 300_000
-#: Rows of an Arrow batch that are turned into Python objects together.
-SLICE_ROWS = 2_000
+#: Bytes that a cache of words and their values may hold, and those of an entry besides its contents.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
+#: Rows and bytes of text of an Arrow batch that are worked on together.
+SLICE_ROWS, SLICE_BYTES = 2_000, 8 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine (tests) a folder of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file:///tmp/quillspan-shared"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application keeps what its operators write."""
+    return f"{shared_folder(spark)}/quillspan/{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes everything that the operators of this application wrote; results that are still to be computed need it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quillspan/{label}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -92,6 +108,64 @@ def hashed_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
+class Lexicon:
+    """word -> bytes, computed for the words that are not remembered; forgotten once the memory is full.
+
+    What is held is counted in bytes, so that words of any length are bounded alike.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], most: int = CACHE_BYTES) -> None:
+        self.compute, self.most = compute, most
+        self.known: dict[str, bytes] = {}
+        self.size = 0
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, words))
+        new = [w for w, v in zip(words, found, strict=True) if v is None]
+        if not new:
+            return found
+        made = self.compute(new)
+        size = sum(map(len, new)) + sum(map(len, made)) + ENTRY_BYTES * len(new)
+        if self.size + size > self.most:
+            self.known.clear()
+            self.size = 0
+        if size <= self.most:
+            self.known.update(zip(new, made, strict=True))
+            self.size += size
+        rest = iter(made)
+        return [next(rest) if v is None else v for v in found]
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct space-delimited pieces of some texts, the number of each piece in order, and where each text's pieces start and end."""
+    parts = pc.split_pattern(texts, " ")
+    coded = parts.flatten().dictionary_encode()
+    bounds = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return coded.dictionary, coded.indices.to_numpy(), bounds
+
+
+def joined(values: list[bytes], codes: np.ndarray, bounds: np.ndarray) -> list[memoryview]:
+    """For each text, the values of its pieces one after another."""
+    taken = pa.array(values, pa.large_binary()).take(pa.array(codes, pa.int64()))
+    _, places, data = taken.buffers()
+    at = np.frombuffer(places, np.int64)[bounds].tolist()
+    whole = memoryview(data) if data is not None else memoryview(b"")
+    return [whole[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in parts of few rows and bytes of text; a long text is a part of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > start and (held + size > SLICE_BYTES or at - start == SLICE_ROWS):
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Each text as UTF-8 bytes, null as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -114,9 +188,9 @@ def over_batches(function: Callable[[pa.RecordBatch], dict], schema: pa.Schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                columns = function(batch.slice(at, SLICE_ROWS))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+            for part in slices(batch) if "text" in batch.schema.names else (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS)):
+                columns = function(part)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in schema], schema=schema)
         give_back()
 
     return run

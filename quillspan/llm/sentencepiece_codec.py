@@ -20,10 +20,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, over_batches, pick, use_cache
+from .common import Lexicon, joined, over_batches, pick, split_words, use_cache
 
 SPACE = "▁"
 #: Words merged together: their arrays stay in the processor's cache.
@@ -68,16 +70,13 @@ class Codec:
         word = rf"{SPACE}*[a-zA-ZÀ-ɏ]+(?=[{stops}])|" if stops else ""
         self.cut = None if crossing else re.compile(rf"{word}[{stops}]+(?=[{SPACE}{line}]|$)|" * bool(stops) + (rf"{line}+|" if line else "") + rf"{SPACE}*[^{SPACE}{line}]+|{SPACE}+")
         self.n = n
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.pieces_seen: dict[str, tuple[bytes, str]] = {}
-        self.id_text = [str(i) for i in range(n)]
+        self.pieces_ids = Lexicon(self._piece_ids)
+        self.decimal = pa.array([f"{i}," for i in range(n)], pa.large_string())
         self.id_bytes = [x.replace(SPACE, " ").encode() for x in self.pieces]
         for b, i in enumerate(self.byte_id):
             if i != sp.unk_id():
                 self.id_bytes[i] = bytes([b])
-        self.byte_len = np.array([len(x) for x in self.id_bytes], np.int64)
-        self.byte_start = np.cumsum(self.byte_len) - self.byte_len
-        self.byte_text = np.frombuffer(b"".join(self.id_bytes), np.uint8)
+        self.byte_text = pa.array(self.id_bytes, pa.large_binary())
         self.plain = np.ones(n, bool)
         for i in range(n):
             if sp.is_control(i) or sp.is_unknown(i):
@@ -187,50 +186,41 @@ class Codec:
         text = SPACE + text.replace(" ", SPACE)
         return self.cut.findall(text) if self.cut else [text]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Encodes the space-delimited pieces that the cache lacks."""
-        if len(self.pieces_seen) > CACHE_WORDS:
-            self.pieces_seen.clear()
-        if len(self.cache) > 2 * CACHE_WORDS:
-            self.cache.clear()
-        cut = {p: self.words(p) if p else [SPACE] for p in pieces}
-        new = sorted({w for words in cut.values() for w in words if w not in self.cache}, key=len)
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids (little-endian int32) of space-delimited pieces, each behind a space."""
+        cut = [self.words(p) if p else [SPACE] for p in pieces]
+        new = sorted({w for words in cut for w in words}, key=len)
+        ids: dict[str, bytes] = {}
         for at in range(0, len(new), WORDS_AT_ONCE):
             part = new[at : at + WORDS_AT_ONCE]
-            self.cache.update(zip(part, map(tuple, self.merge_words(part)), strict=True))
-        for piece, words in cut.items():
-            ids = list(chain.from_iterable(map(self.cache.__getitem__, words)))
-            self.pieces_seen[piece] = (np.array(ids, np.int32).tobytes(), ",".join(map(self.id_text.__getitem__, ids)))
-
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, str]]:
-        """The ids of each whole text, and the same in decimal joined by commas; a null or empty text has none."""
-        cut: list[list[str] | None] = []
-        for text in texts:
-            # spaces that touch, or a space mark in the text itself, would join pieces
-            if not text or not self.cut or "  " in text or text[-1] == " " or text[0] == " " or SPACE in text:
-                cut.append(None)
-            else:
-                cut.append(text.split(" "))
-        new = {w for words in cut if words for w in words}
-        new.difference_update(self.pieces_seen)
-        if new:
-            if len(self.pieces_seen) + len(new) > CACHE_WORDS:
-                new = {w for words in cut if words for w in words}
-                self.pieces_seen.clear()
-            self._learn(new)
-        out = []
-        for text, words in zip(texts, cut, strict=True):
-            if words:
-                found = list(map(self.pieces_seen.__getitem__, words))
-                out.append((np.frombuffer(b"".join([x for x, _ in found]), np.int32), ",".join([x for _, x in found])))
-                continue
-            words = self.words(text or "")
-            part = [w for w in set(words) if w not in self.cache]
-            self.cache.update(zip(part, map(tuple, self.merge_words(part)), strict=True))
-            ids = list(chain.from_iterable(map(self.cache.__getitem__, words)))
-            out.append((np.array(ids, np.int32), ",".join(map(self.id_text.__getitem__, ids))))
+            ids.update(zip(part, (np.array(x, "<i4").tobytes() for x in self.merge_words(part)), strict=True))
+        return [ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words]) for words in cut]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each whole text; a null or empty text has none."""
+        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
+        full = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+        # spaces that touch, or a space mark in the text itself, would join pieces
+        odd = pc.match_substring_regex(texts, f"  |^ | $|{SPACE}") if self.cut else full
+        plain = np.flatnonzero(pc.and_not(full, pc.fill_null(odd, False)).to_numpy(zero_copy_only=False))
+        if len(plain):
+            distinct, codes, bounds = split_words(texts.take(pa.array(plain)))
+            for k, ids in zip(plain.tolist(), joined(self.pieces_ids(distinct.to_pylist()), codes, bounds), strict=True):
+                out[k] = np.frombuffer(ids, "<i4")
+        for k in np.flatnonzero(pc.and_(full, pc.fill_null(odd, False)).to_numpy(zero_copy_only=False)).tolist():
+            words = self.words(texts[k].as_py())
+            new = list(dict.fromkeys(words))
+            ids = {w: x for at in range(0, len(new), WORDS_AT_ONCE) for w, x in zip(new[at : at + WORDS_AT_ONCE], self.merge_words(new[at : at + WORDS_AT_ONCE]), strict=True)}
+            out[k] = np.fromiter(chain.from_iterable(map(ids.__getitem__, words)), np.int32)
         return out
 
+    def listed(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by commas."""
+        if not len(ids):
+            return b""
+        _, places, data = self.decimal.take(pa.array(ids)).buffers()
+        return memoryview(data)[: int(np.frombuffer(places, np.int64)[len(ids)]) - 1]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; what is not plain pieces or valid bytes is left to the library."""
         if not len(ids):
@@ -238,11 +228,9 @@ class Codec:
         ids = np.asarray(ids, np.int64)
         if not self.plain[ids].all():
             return self.library.decode(ids.tolist())
-        size = self.byte_len[ids]
-        ends = np.cumsum(size)
-        place = np.arange(ends[-1]) + np.repeat(self.byte_start[ids] - (ends - size), size)
+        _, places, data = self.byte_text.take(pa.array(ids)).buffers()
         try:
-            text = self.byte_text[place].tobytes().decode()
+            text = bytes(memoryview(data)[: int(np.frombuffer(places, np.int64)[len(ids)])]).decode()
         except UnicodeDecodeError:
             return self.library.decode(ids.tolist())
         return text[1:] if self.pieces[ids[0]].startswith(SPACE) else text
@@ -272,25 +260,23 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def run(batch: pa.RecordBatch) -> dict:
         tool = codec(model_path)
         out: dict[str, list] = {f.name: [] for f in schema}
-        out["doc_id"] = batch["doc_id"].to_pylist()
-        texts = batch["text"].to_pylist()
-        for at in range(0, len(texts), 500):
-            for ids, listed in tool.encode(texts[at : at + 500]):
-                out["n_tokens"].append(len(ids))
-                if "ids" in out:
-                    out["ids"].append(ids)
-                if "ids_sha256" in out:
-                    out["ids_sha256"].append(hashlib.sha256(listed.encode()).hexdigest())
-                if "decoded" in out or "decoded_sha256" in out:
-                    text = tool.decode(ids)
-                    if "decoded" in out:
-                        out["decoded"].append(text)
-                    if "decoded_sha256" in out:
-                        out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
+        out["doc_id"] = batch["doc_id"]
+        for ids in tool.encode(batch["text"]):
+            out["n_tokens"].append(len(ids))
+            if "ids" in out:
+                out["ids"].append(ids)
+            if "ids_sha256" in out:
+                out["ids_sha256"].append(hashlib.sha256(tool.listed(ids)).hexdigest())
+            if "decoded" in out or "decoded_sha256" in out:
+                text = tool.decode(ids)
+                if "decoded" in out:
+                    out["decoded"].append(text)
+                if "decoded_sha256" in out:
+                    out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
         return out
 
     columns = ", ".join(f"{f.name} {sql.get(f.name, 'long' if f.type == pa.int64() else 'string')}" for f in schema)
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(over_batches(run, schema), columns)
+    return pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(over_batches(run, schema), columns)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
