@@ -18,6 +18,7 @@ A document of any length lies in one frame; a frame is closed once it holds FRAM
 from __future__ import annotations
 
 import io
+import os
 import re
 import struct
 import uuid
@@ -27,77 +28,106 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import CACHE_WORDS, pick, shared_folder
+from .common import Lexicon, give_back, joined, own_folder, pick, slices, split_words, use_cache, written
 
 MAGIC = b"QSTK0001"
 FRAME_IDS = 1 << 18
-#: Bytes of text for a file.
-FILE_BYTES = 16 << 20
+#: Bytes of text from which a file is closed.
+FILE_BYTES = 32 << 20
+#: Ranges of files whose starts are added up together.
+FILES_TOGETHER = 1_000
 LEVEL = 1
 TABLE = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u8"), ("n", "<u8")])
 SEEK = np.dtype([("offset", "<u8"), ("size", "<u8"), ("n", "<u8"), ("crc", "<u4")])
 FOOTER = struct.Struct("<QQQI8s")
+_RE2 = re.compile(r"[^\w ]")
 
 
 class Encoder:
-    """Encodes as the tokenizers library does, remembering the ids of space-delimited pieces.
+    """Encodes as the tokenizers library does (add_special_tokens=False), remembering the ids of space-delimited pieces.
 
     The byte-level pre-tokenizer always cuts before a space that stands between two
-    characters that are no white space, so such pieces encode by themselves.
+    characters that are no white space, so such pieces encode by themselves. Texts with other
+    spaces, or with the string of an added token, go to the library whole.
     """
 
-    odd = re.compile(r"\s[ ]|[ ]\s|^ | $")
-    line = re.compile(r"(?<=\S)(\n)(?=\S)")
-
-    @staticmethod
-    def _stop(piece: str) -> tuple[str, ...]:
-        return (piece[:-1], piece[-1]) if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalnum() else (piece,)
+    #: White space as the tokenizer and Python know it.
+    BLANK = "[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.odd = "|".join([f"{self.BLANK} | {self.BLANK}|^ | $", *(_RE2.sub(r"\\\g<0>", t.content) for t in added)])
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # the byte-level alphabet has one character for each byte
+        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        self.pieces = Lexicon(self._pieces)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        """The ids of each piece. Pieces that start at a space are encoded many in a string and told apart by their bytes."""
+        out: list[bytes] = [b""] * len(words)
+        together = [k for k, w in enumerate(words) if w[0] == " " and not w[-1].isspace()]
+        apart = sorted(set(range(len(words))).difference(together))
+        for k, ids in zip(apart, self._whole([words[k] for k in apart]), strict=True):
+            out[k] = ids.tobytes()
+        strings = ["".join([words[k] for k in together[at : at + 512]]) for at in range(0, len(together), 512)]
+        found = self._whole(strings)
+        if found:
+            ids = np.concatenate(found)
+            ends = np.cumsum(self.width[ids])
+            size = np.fromiter((len(words[k].encode()) for k in together), np.int64, len(together))
+            cut = np.searchsorted(ends, np.cumsum(size)) + 1
+            if (ends[cut - 1] != np.cumsum(size)).any():
+                raise ValueError("a token of this tokenizer crosses a space")
+            raw, at = ids.tobytes(), 0
+            for k, end in zip(together, (4 * cut).tolist(), strict=True):
+                out[k] = raw[at:end]
+                at = end
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes | memoryview]:
+        """The ids of each whole text as little-endian uint32; a null or empty text has none."""
+        out: list[bytes | memoryview] = [b""] * len(texts)
+        full = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+        odd = pc.fill_null(pc.match_substring_regex(texts, self.odd), False)
+        whole = np.flatnonzero(pc.and_(full, odd).to_numpy(zero_copy_only=False)).tolist()
+        for k, ids in zip(whole, self._whole([texts[k].as_py() for k in whole]), strict=True):
+            out[k] = ids.tobytes()
+        plain = np.flatnonzero(pc.and_not(full, odd).to_numpy(zero_copy_only=False))
+        if len(plain):
+            distinct, codes, bounds = split_words(texts.take(pa.array(plain)))
+            codes = codes.astype(np.int64)
+            words = distinct.to_pylist()
+            # the first piece of a text has no space before it
+            first, place = np.unique(codes[bounds[:-1]], return_inverse=True)
+            codes[bounds[:-1]] = len(words) + place
+            values = self.pieces([" " + w for w in words] + [words[k] for k in first])
+            for k, ids in zip(plain.tolist(), joined(values, codes, bounds), strict=True):
+                out[k] = ids
+        return out
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core; threads of our own would only wait for each other
+    return Encoder(path)
 
-    def _blobs(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each whole text as little-endian uint32; a null or empty text has none."""
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if not text:
-                cut.append([])
-            elif self.odd.search(text):
-                cut.append(None)
-            else:
-                first, *rest = text.split(" ")
-                cut.append([first, *[" " + w for w in rest]])
-        new = {w for words in cut if words for w in words}
-        if len(self.cache) + len(new) > 2 * CACHE_WORDS:
-            self.cache.clear()
-        # the pre-tokenizer also cuts around a line end between two characters that are no white space, and between
-        # a letter or digit and a stop: new pieces are put together from shorter, commoner ones
-        missing = {w: [p for x in self.line.split(w) for p in self._stop(x)] for w in new if w not in self.cache}
-        parts = [p for p in {p for ps in missing.values() for p in ps} if p not in self.cache]
-        self.cache.update(zip(parts, self._blobs(parts), strict=True))
-        for w, ps in missing.items():
-            if len(ps) > 1:
-                self.cache[w] = b"".join(map(self.cache.__getitem__, ps))
-        whole = iter(self._blobs([t for t, words in zip(texts, cut, strict=True) if words is None]))
-        return [next(whole) if words is None else b"".join(map(self.cache.__getitem__, words)) for words in cut]
-
-
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    use_cache("tokens", _encoder.cache_clear)
+    return _encoder(path)
 
 
 def write_tokens(sink: io.RawIOBase | pa.NativeFile, documents: Iterable[tuple[int | None, bytes]], frame_ids: int = FRAME_IDS) -> tuple[int, int]:
@@ -177,71 +207,70 @@ class TokenReader:
         return self.frame(int(row["frame"]))[first : first + int(row["n"])]
 
 
-def _range_of(docs: DataFrame, n_files: int) -> DataFrame:
-    """With the file that each row goes to: files hold ascending, disjoint ranges of doc_id; nulls come first."""
-    marks = docs.agg(F.percentile_approx("doc_id", [i / n_files for i in range(1, n_files)], 100 * n_files).alias("m")).first()["m"] if n_files > 1 else None
-    marks = sorted(set(marks or []))
-    file = F.lit(0)
-    if marks:
-        # the number of marks below the id, by bisection over a constant array
-        file = F.aggregate(F.sequence(F.lit(1), F.lit(len(marks).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(marks)).alias("hi")), lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(F.when(F.element_at(F.lit(marks), F.expr("1") + F.floor((s["lo"] + s["hi"]) / 2).cast("int")) < F.col("doc_id"), F.struct((F.floor((s["lo"] + s["hi"]) / 2).cast("int") + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))))["lo"]
-    return docs.withColumn("file", F.coalesce(file, F.lit(0)).cast("int"))
-
-
 def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int | None = 2, folder: str | None = None, file_bytes: int = FILE_BYTES) -> tuple[str, DataFrame]:
     """Encodes every whole text, appends end_id and writes token files in ascending order of doc_id.
 
-    Returns the folder and a table of its files: file (they ascend with doc_id), path,
-    n_docs, n_ids, start (the ids in all files before). A file is written under a name of
-    its own attempt and then moved, so a task that runs again leaves no half file. Null
-    and empty texts hold only the end id; null ids come first; rows that repeat an id are
-    ordered by text. An empty table writes no file.
+    Rows are sorted into ranges of doc_id; a range is written as one file or, closed at
+    file_bytes of text, as several, so files are bounded by bytes and only a text longer
+    than that makes a larger one. Returns the folder and a table of the files: part and file
+    (together they ascend with doc_id), path, n_docs, n_ids, start (the ids in all files
+    before). A file is written under a name of its own attempt and then moved, so a task that
+    runs again leaves no half file. Null and empty texts hold only the end id; null ids come
+    first; rows that repeat an id, or have none, are ordered by a hash of the text and the
+    text, so that many of them may lie in several ranges. An empty table writes no file.
     """
     spark = docs.sparkSession
-    folder = folder or f"{shared_folder(spark)}/quillspan/tokens-{uuid.uuid4().hex}"
-    base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    folder = folder or f"{own_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("h", F.xxhash64("text"))
     n_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // file_bytes))
-    dealt = _range_of(base, n_files).repartition(n_files, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "text")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // file_bytes))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc_nulls_first()]
+    dealt = base.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int | None, bytes]]:
-        tool = encoder(tokenizer_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = part["text"].to_pylist()
-                for file, doc_id, ids in zip(part["file"].to_pylist(), part["doc_id"].to_pylist(), tool.encode(texts), strict=True):
-                    yield file, doc_id, ids + tail
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = encoded(batches)
+        sizes = [0]  # bytes of text by file, the last one open
+
+        def encoded() -> Iterator[tuple[int, int, int | None, bytes]]:
+            tool = encoder(tokenizer_path)
+            for batch in batches:
+                for part in slices(batch):
+                    length = pc.fill_null(pc.binary_length(part["text"]), 0).to_pylist()
+                    for number, doc_id, size, ids in zip(part["part"].to_pylist(), part["doc_id"].to_pylist(), length, tool.encode(part["text"]), strict=True):
+                        if sizes[-1] and sizes[-1] + size > file_bytes:
+                            sizes.append(0)
+                        sizes[-1] += size
+                        yield number, len(sizes) - 1, doc_id, b"".join((ids, tail))
+
+        rows = encoded()
         row = next(rows, None)
         if row is None:
             return
         store, root = pyarrow.fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         while row is not None:
-            file = row[0]
+            part, file = row[:2]
 
             def own() -> Iterator[tuple[int | None, bytes]]:
                 nonlocal row
-                while row is not None and row[0] == file:  # noqa: B023
-                    yield row[1:]
+                while row is not None and row[1] == file:  # noqa: B023
+                    yield row[2:]
                     row = next(rows, None)
 
-            name, trial = f"{root}/part-{file:07d}.qstk", f"{root}/.part-{file:07d}-{uuid.uuid4().hex}"
+            name = f"part-{part:07d}-{file:05d}.qstk"
+            trial = f"{root}/.{name}-{uuid.uuid4().hex}"
             with store.open_output_stream(trial, compression=None) as sink:
                 n_docs, n_ids = write_tokens(sink, own())
-            store.move(trial, name)
-            yield pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "path": [f"{folder}/part-{file:07d}.qstk"], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
+            store.move(trial, f"{root}/{name}")
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([file], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
+        give_back()
 
-    files = dealt.mapInArrow(write, "file int, path string, n_docs long, n_ids long").collect()  # one short row per file
-    start, rows = 0, []
-    for r in sorted(files, key=lambda r: r["file"]):
-        rows.append((r["file"], r["path"], r["n_docs"], r["n_ids"], start))
-        start += r["n_ids"]
-    return folder, spark.createDataFrame(rows, "file int, path string, n_docs long, n_ids long, start long")
+    files = written(dealt.mapInArrow(write, "part int, file int, path string, n_docs long, n_ids long"), "files")
+    # prefix sums in two steps: within groups of parts, and over the groups
+    files = files.withColumn("group", F.floor(F.col("part") / FILES_TOGETHER))
+    groups = files.groupBy("group").agg(F.sum("n_ids").alias("n")).withColumn("of_group", F.coalesce(F.sum("n").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    before = F.coalesce(F.sum("n_ids").over(Window.partitionBy("group").orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return folder, files.withColumn("before", before).join(groups, "group").select("part", "file", "path", "n_docs", "n_ids", (F.col("of_group") + F.col("before")).alias("start"))
 
 
 def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
@@ -251,18 +280,20 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Data
     """
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.qstk").load(folder)
-    raw = raw.select(F.regexp_extract("path", r"part-(\d+)\.qstk$", 1).cast("int").alias("file"), "content")
-    raw = raw.join(F.broadcast(files.select("file", F.col("start").alias("base"))), "file")  # one short row per file
+    number = lambda k: F.regexp_extract("path", r"part-(\d+)-(\d+)\.qstk$", k).cast("int")
+    raw = raw.select(number(1).alias("part"), number(2).alias("file"), "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content, base in zip(batch["content"], batch["base"].to_pylist(), strict=True):
+            for part, file, content in zip(batch["part"].to_pylist(), batch["file"].to_pylist(), batch["content"], strict=True):
                 reader = TokenReader(pa.BufferReader(content.as_buffer()))
                 table = reader.table
-                n = table["n"].astype(np.int64)
-                crc = [zlib.crc32(reader.document(i)) for i in range(len(table))]
-                yield pa.RecordBatch.from_arrays([pa.array(table["doc_id"], pa.int64(), mask=table["null"].astype(bool)), pa.array(base + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], schema=schema)
+                n, size = table["n"].astype(np.int64), len(table)
+                crc = [zlib.crc32(reader.document(i)) for i in range(size)]
+                numbers = [pa.array(np.full(size, x, np.int32)) for x in (part, file)]
+                yield pa.RecordBatch.from_arrays([*numbers, pa.array(table["doc_id"], pa.int64(), mask=table["null"].astype(bool)), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], schema=schema)
 
-    return raw.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = raw.mapInArrow(read, "part int, file int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return found.join(files.select("part", "file", F.col("start").alias("base")), ["part", "file"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

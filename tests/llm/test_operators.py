@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -66,7 +67,7 @@ def test_substring_dedup(docs, rows):
     assert substring_dedup.dedup_substrings(empty(docs)).count() == 0
 
 
-def test_sentencepiece(docs, rows):
+def test_sentencepiece(docs, rows, monkeypatch):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = sentencepiece_codec.encode_documents(docs, PIECES, outputs=("ids", "decoded", "ids_sha256"))
     want = sorted((str(i), library.encode(t or ""), library.decode(library.encode(t or ""))) for i, t, _ in rows)
@@ -74,7 +75,11 @@ def test_sentencepiece(docs, rows):
     assert sentencepiece_codec.decode_documents(got, PIECES).where("text <> ''").count() == sum(bool(x[2]) for x in want)
     tool, rng = sentencepiece_codec.codec(PIECES), random.Random(2)
     texts = ["".join(rng.choice("ab the\n\t  .,▁é😀ß\r-=") for _ in range(rng.randrange(50))) for _ in range(2000)]
-    assert [x.tolist() for x, _ in tool.encode(texts)] == library.encode(texts)
+    assert [x.tolist() for x in tool.encode(pa.array(texts))] == library.encode(texts)
+    # a memory that holds next to nothing changes no result
+    monkeypatch.setattr(tool.pieces_ids, "most", 300)
+    assert [x.tolist() for x in tool.encode(pa.array(texts))] == library.encode(texts)
+    assert sentencepiece_codec.encode_documents(empty(docs), PIECES).count() == 0
 
 
 def test_language(docs, rows):
@@ -371,7 +376,29 @@ def test_token_files(spark, docs, rows):
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
-    assert files.count() > 1
+    assert files.count() > 1 and files.agg(F.max("n_ids")).first()[0] < 2 * 4000 + 8000
+    folder, files = token_files.write_token_files(empty(docs), BYTES)
+    assert token_files.read_token_files(spark, folder, files).count() == 0
+
+
+def test_token_ids_are_the_librarys():
+    rng, tool, library = random.Random(6), token_files.encoder(BYTES), Tokenizer.from_file(BYTES)
+    parts = [*"ab the\n\t  .,é😀ß\r-=1  '", "<|endoftext|>", "don't", "\x1c", "\x85", "\u3000", "<|"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(5000)]
+    texts += [" ".join(rng.choice(["a\nb", "<|endoftext|>", "x.", "don't", "12a", "\nq", "z\n"]) for _ in range(rng.randrange(8))) for _ in range(2000)]
+    texts += [None, "", "a <|endoftext|> b", "word " * 50_000 + "end"]
+    want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tool.encode(pa.array(texts))] == want
+    assert want[-2][1] == 220 and 50256 in want[-2]
+
+
+@pytest.mark.parametrize("ids", [[None] * 300, [7] * 300])
+def test_token_files_of_one_id(spark, ids):
+    """A third of all rows may share an id or have none: they lie in several files, and every place is taken once."""
+    table = spark.createDataFrame([(i, f"text {k} " * 20) for k, i in enumerate(ids)], "doc_id long, text string")
+    folder, files = token_files.write_token_files(table, BYTES, file_bytes=6000)
+    got = sorted(tuple(r)[1:3] for r in token_files.read_token_files(spark, folder, files).collect())
+    assert files.count() > 4 and [a for a, _ in got] == [sum(n for _, n in got[:k]) for k in range(300)]
 
 
 def test_token_reader_reads_one_frame(tmp_path):
