@@ -1,10 +1,11 @@
 """Language ID by a bidirectional gated recurrent network over bytes.
 
 Two gated recurrent units read the bytes of a text, one from each end; from both states
-every position is labelled. The states start anew at white space and after SPAN bytes, so
-a position's label depends on its word alone, equal words are labelled once for many
-documents, and texts of any length take bounded memory. A document's probabilities are
-the means over its positions. The network is trained in numpy by backpropagation through time.
+every position is labelled, and a document's probabilities are the means over all of its
+positions. Long texts are read in windows of WINDOW bytes, each with CONTEXT bytes on
+either side that only warm up the states: states run on across words, every byte is
+labelled once, and texts of any length take bounded memory. The network is trained in
+numpy by backpropagation through time.
 """
 
 from __future__ import annotations
@@ -14,21 +15,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, pick, text_bytes, use_cache
+from .common import give_back, pick, slices
 
-#: The most documents a language is learned from, and the bytes of a run of states.
-DOCS_PER_LANGUAGE, SPAN = 400, 48
+#: The most documents a language is learned from, the most for all languages together, and the characters taken of each.
+DOCS_PER_LANGUAGE, DOCS, EXCERPT = 400, 40_000, 4_000
+#: Bytes that a window labels, and those on either side that it reads besides.
+WINDOW, CONTEXT = 512, 24
+#: Windows that are read together, and the most label values held for them.
+WINDOWS_AT_ONCE, VALUES_AT_ONCE = 1024, 1 << 23
+#: Bytes of a text in training, and the units of either direction.
+TRAIN_BYTES, HIDDEN = 80, 12
 UNKNOWN = "und"
-#: No letter at all (null and empty texts included).
-LETTER = regex.compile(r"\p{L}")
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _reversed(a: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Each column (T x B or more) read from its own end; what lies behind a column's size stays in place."""
+    t = np.arange(len(a))[:, None]
+    return a[np.where(t < size, size - 1 - t, t), np.arange(a.shape[1])]
 
 
 @dataclass
@@ -50,83 +57,120 @@ class Network:
     def weights(self) -> list[np.ndarray]:
         return [*self.wx, *self.wh, self.wo, self.bo]
 
-    def states(self, text: np.ndarray, mask: np.ndarray, way: int, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States (T x B x H) of one direction over bytes (T x B); mask: 1 where there is a byte."""
-        steps, size = text.shape
-        hidden = self.wh[way].shape[0]
-        h, out, kept = np.zeros((size, hidden), np.float32), np.empty((steps, size, hidden), np.float32), []
-        for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
-            x = self.wx[way][text[t]]
-            gates = _sigmoid(x[:, : 2 * hidden] + h @ self.wh[way][:, : 2 * hidden])
-            z, r = gates[:, :hidden], gates[:, hidden:]
-            rh = r * h
-            c = np.tanh(x[:, 2 * hidden :] + rh @ self.wh[way][:, 2 * hidden :])
-            m = mask[t][:, None]
-            new = h + m * z * (c - h)
-            if keep:
-                kept.append((t, h, z, r, c))
-            h = out[t] = new
+    def states(self, text: np.ndarray, way: int) -> tuple[np.ndarray, list]:
+        """States (T x B x H) of one direction over bytes (T x B) in the order of reading, and what backpropagation needs."""
+        wx, wh = self.wx[way], self.wh[way]
+        hidden = len(wh)
+        h, out, kept = np.zeros((text.shape[1], hidden), wh.dtype), np.empty((*text.shape, hidden), wh.dtype), []
+        for t, row in enumerate(text):
+            x, u = wx[row], h @ wh
+            gates = 0.5 * np.tanh(0.5 * (x[:, : 2 * hidden] + u[:, : 2 * hidden])) + 0.5
+            z, r, uc = gates[:, :hidden], gates[:, hidden:], u[:, 2 * hidden :]
+            c = np.tanh(x[:, 2 * hidden :] + r * uc)
+            kept.append((h, z, r, c, uc))
+            h = out[t] = h + z * (c - h)
         return out, kept
 
-    def label(self, text: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """The probabilities of every position (T x B x L)."""
-        both = np.concatenate([self.states(text, mask, 0)[0], self.states(text, mask, 1)[0]], axis=2)
-        logits = both @ self.wo + self.bo
-        logits -= logits.max(axis=2, keepdims=True)
-        p = np.exp(logits)
-        return p / p.sum(axis=2, keepdims=True)
-
-    def gradients(self, text: np.ndarray, mask: np.ndarray, label: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    def gradients(self, text: np.ndarray, size: np.ndarray, label: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean cross-entropy of the positions and its gradients, by backpropagation through time."""
-        hidden = self.wh[0].shape[0]
-        runs = [self.states(text, mask, w, keep=True) for w in (0, 1)]
-        both = np.concatenate([runs[0][0], runs[1][0]], axis=2)
+        hidden, mask = self.wh[0].shape[0], np.arange(len(text))[:, None] < size
+        read = [text, _reversed(text, size)]
+        runs = [self.states(read[way], way) for way in (0, 1)]
+        both = np.concatenate([runs[0][0], _reversed(runs[1][0], size)], axis=2)
         logits = both @ self.wo + self.bo
         logits -= logits.max(axis=2, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(axis=2, keepdims=True)
         n = mask.sum()
-        hot = np.eye(len(self.labels), dtype=np.float32)[label]
+        hot = np.eye(len(self.labels), dtype=self.wo.dtype)[label]
         loss = float(-(np.log((p * hot[None]).sum(axis=2) + 1e-9) * mask).sum() / n)
-        d = (p - hot[None]) * mask[:, :, None] / n
+        d = ((p - hot[None]) * mask[:, :, None] / n).astype(self.wo.dtype)
         d_wo, d_bo = np.tensordot(both, d, ([0, 1], [0, 1])), d.sum(axis=(0, 1))
         d_both = d @ self.wo.T
-        d_wx, d_wh = [np.zeros_like(w) for w in self.wx], [np.zeros_like(w) for w in self.wh]
-        for way in (0, 1):
-            wh, d_h = self.wh[way], np.zeros((text.shape[1], hidden), np.float32)
-            for t, h, z, r, c in reversed(runs[way][1]):
-                m = mask[t][:, None]
-                d_h = d_h + d_both[t][:, way * hidden : (way + 1) * hidden]
-                d_new = d_h * m
-                d_z, d_c = d_new * (c - h) * z * (1 - z), d_new * z * (1 - c * c)
-                d_rh = d_c @ wh[:, 2 * hidden :].T
-                d_r = d_rh * h * r * (1 - r)
-                d_g = np.concatenate([d_z, d_r], axis=1)
-                np.add.at(d_wx[way], text[t], np.concatenate([d_g, d_c], axis=1))
-                d_wh[way][:, : 2 * hidden] += h.T @ d_g
-                d_wh[way][:, 2 * hidden :] += (r * h).T @ d_c
-                d_h = d_h * (1 - m * z) + d_rh * r + d_g @ wh[:, : 2 * hidden].T
+        d_wx, d_wh = [], []
+        order = [np.argsort(x, axis=None, kind="stable") for x in read]
+        for way, d_out in ((0, d_both[:, :, :hidden]), (1, _reversed(d_both[:, :, hidden:], size))):
+            wh = self.wh[way]
+            d_h, d_x, own = np.zeros((text.shape[1], hidden), wh.dtype), np.empty((*text.shape, 3 * hidden), wh.dtype), np.zeros_like(wh)
+            for t in range(len(text) - 1, -1, -1):
+                h, z, r, c, uc = runs[way][1][t]
+                d_new = d_h + d_out[t]
+                d_c = d_new * z * (1 - c * c)
+                d_x[t] = np.concatenate([d_new * (c - h) * z * (1 - z), d_c * uc * r * (1 - r), d_c], axis=1)
+                d_u = d_x[t].copy()
+                d_u[:, 2 * hidden :] *= r
+                own += h.T @ d_u
+                d_h = d_new * (1 - z) + d_u @ wh.T
+            bytes_ = read[way].ravel()[order[way]]
+            starts = np.flatnonzero(np.concatenate([[True], bytes_[1:] != bytes_[:-1]]))
+            inputs = np.zeros_like(self.wx[way])
+            inputs[bytes_[starts]] = np.add.reduceat(d_x.reshape(-1, 3 * hidden)[order[way]], starts, axis=0)
+            d_wx.append(inputs)
+            d_wh.append(own)
         return loss, [*d_wx, *d_wh, d_wo, d_bo]
 
+    def label(self, text: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The probabilities of every position (T x B x L); those behind a column's size mean nothing.
 
-def packed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and mask (T x B) of words of at most SPAN bytes."""
-    longest = max(map(len, words))
-    text = np.frombuffer(b"".join(w.ljust(longest, b"\0") for w in words), np.uint8).reshape(len(words), longest).T
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    return text, (np.arange(longest)[:, None] < size[None]).astype(np.float32)
+        Both directions step at once, each column from its own first and last byte.
+        """
+        steps, many = text.shape
+        hidden = self.wh[0].shape[0]
+        # halved where a gate is half a tanh
+        half = np.repeat(np.array([0.5, 0.5, 1], np.float32), hidden)
+        wx, wh = [w * half for w in self.wx], np.stack(self.wh) * half
+        wo = np.stack([self.wo[:hidden], self.wo[hidden:]])
+        read = [text, _reversed(text, size)]
+        x, u = np.empty((2, many, 3 * hidden), np.float32), np.empty((2, many, 3 * hidden), np.float32)
+        h, c = np.zeros((2, many, hidden), np.float32), np.empty((2, many, hidden), np.float32)
+        logits = np.empty((steps, 2, many, len(self.labels)), np.float32)
+        z, r, gates, uc, xc = u[:, :, :hidden], u[:, :, hidden : 2 * hidden], u[:, :, : 2 * hidden], u[:, :, 2 * hidden :], x[:, :, 2 * hidden :]
+        for t in range(steps):
+            for way in (0, 1):
+                np.take(wx[way], read[way][t], axis=0, out=x[way], mode="clip")
+            np.matmul(h, wh, out=u)
+            gates += x[:, :, : 2 * hidden]
+            np.tanh(gates, out=gates)
+            gates += 1
+            # gates are twice themselves here
+            np.multiply(r, uc, out=c)
+            c *= 0.5
+            c += xc
+            np.tanh(c, out=c)
+            c -= h
+            c *= z
+            c *= 0.5
+            h += c
+            np.matmul(h, wo, out=logits[t])
+        p = logits[:, 0]
+        p += _reversed(logits[:, 1], size)
+        p += self.bo
+        p -= p.max(axis=2, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=2, keepdims=True)
+        return p
+
+
+def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes (T x B) of some texts, filled up with zeros, and their sizes."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer(b"".join(w.ljust(int(size.max()), b"\0") for w in texts), np.uint8).reshape(len(texts), -1).T, size
 
 
-def train(samples: dict[str, list[bytes]], *, hidden: int = 16, steps: int = 500, batch: int = 192, seed: int = 11) -> Network:
-    """Learns to label positions from texts by language (Adam; each batch holds the languages evenly)."""
+def train(samples: dict[str, list[bytes]], *, hidden: int = HIDDEN, steps: int = 400, batch: int = 128, seed: int = 11) -> Network:
+    """Learns to label positions of texts by language (Adam; each batch holds the languages evenly)."""
     labels = sorted(samples)
     rng = np.random.default_rng(seed)
-    words = [[w[at : at + SPAN] for t in samples[lang] for w in t.split() for at in range(0, len(w), SPAN)] or [b"?"] for lang in labels]
+    texts = [[t for t in samples[lang] if t] or [b"?"] for lang in labels]
     net = Network.fresh(labels, hidden, seed)
     first, second = [np.zeros_like(w) for w in net.weights()], [np.zeros_like(w) for w in net.weights()]
     for step in range(1, steps + 1 if len(labels) > 1 else 1):
         label = rng.integers(0, len(labels), batch)
-        chosen = [words[k][int(rng.integers(len(words[k])))] for k in label]
+        chosen = []
+        for k in label:
+            text = texts[k][int(rng.integers(len(texts[k])))]
+            at = int(rng.integers(max(1, len(text) - TRAIN_BYTES + 1)))
+            chosen.append(text[at : at + int(rng.integers(8, TRAIN_BYTES + 1))])
         _, grads = net.gradients(*packed(chosen), label)
         rate = 0.01 * (1 - 0.9 * step / steps)
         for w, g, m, v in zip(net.weights(), grads, first, second, strict=True):
@@ -136,67 +180,60 @@ def train(samples: dict[str, list[bytes]], *, hidden: int = 16, steps: int = 500
     return net
 
 
-class Labeller:
-    """Sums of position probabilities by word, remembered for the words met lately."""
-
-    def __init__(self, net: Network) -> None:
-        self.net = net
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.sums = np.zeros((1024, len(self.net.labels)))
-
-    def learn(self, words: list[bytes]) -> None:
-        start = len(self.place)
-        self.place.update(zip(words, range(start, start + len(words)), strict=True))
-        if start + len(words) > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros((max(len(self.sums), len(words)), self.sums.shape[1]))])
-        parts = sorted(((w[at : at + SPAN], start + k) for k, w in enumerate(words) for at in range(0, len(w), SPAN)), key=lambda x: len(x[0]))
-        for at in range(0, len(parts), 2048):
-            part = parts[at : at + 2048]
-            text, mask = packed([w for w, _ in part])
-            p = (self.net.label(text, mask) * mask[:, :, None]).sum(axis=0, dtype=np.float64)
-            np.add.at(self.sums, [k for _, k in part], p)
-
-    def __call__(self, texts: list[bytes]) -> np.ndarray:
-        """Mean probabilities over the positions of each text (zeros if it has none)."""
-        cut = [t.split() for t in texts]
-        new = {w for words in cut for w in words}
-        if len(self.place) + len(new) > 2 * CACHE_WORDS:
-            self.clear()
-        self.learn([w for w in new if w not in self.place])
-        out = np.zeros((len(texts), len(self.net.labels)))
-        for k, words in enumerate(cut):
-            if words:
-                out[k] = self.sums[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0)
-        total = out.sum(axis=1, keepdims=True)
-        return out / np.where(total > 0, total, 1)
+def pooled(net: Network, texts: pa.Array) -> np.ndarray:
+    """Mean probabilities over all bytes of each text (zeros if it has none)."""
+    whole = pc.fill_null(texts.cast(pa.binary()), b"")
+    _, places, data = whole.buffers()
+    ends = np.frombuffer(places, np.int32)[whole.offset : whole.offset + len(whole) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    length = np.diff(ends)
+    count = -(-length // WINDOW)
+    owner = np.repeat(np.arange(len(length)), count)
+    low = ends[:-1][owner] + WINDOW * (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))
+    high = np.minimum(low + WINDOW, ends[1:][owner])
+    start, stop = np.maximum(low - CONTEXT, ends[:-1][owner]), np.minimum(high + CONTEXT, ends[1:][owner])
+    sums = np.zeros((len(length), len(net.labels)))
+    order = np.argsort(stop - start, kind="stable")
+    at = 0
+    while at < len(order):
+        some = order[at : at + WINDOWS_AT_ONCE]
+        some = some[: max(16, VALUES_AT_ONCE // (len(net.labels) * int((stop - start)[some].max())))]
+        at += len(some)
+        size = (stop - start)[some]
+        t = np.arange(size.max())[:, None]
+        p = net.label(raw[np.minimum(start[some] + t, stop[some] - 1)], size)
+        inside = (t >= (low - start)[some]) & (t < (high - start)[some])
+        np.add.at(sums, owner[some], np.einsum("tbl,tb->bl", p, inside.astype(np.float32), dtype=np.float64))
+    return sums / np.maximum(length, 1)[:, None]
 
 
 def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = DOCS_PER_LANGUAGE, most_languages: int = 500) -> Network:
-    """Trains on a bounded sample: about per_language documents of each language that have a letter,
-    chosen by a hash of the id among those that aren't held out (crc32 of the id as text, mod 3, is 1).
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = DOCS_PER_LANGUAGE, most_docs: int = DOCS, excerpt: int = EXCERPT) -> Network:
+    """Trains on a bounded sample: about per_language documents of each language that have a letter (fewer where all
+    languages together would have more than most_docs, but at least eight), chosen by a hash of the id among those
+    that aren't held out (crc32 of the id as text, mod 3, is 1), and of each at most `excerpt` characters from a
+    place that the hash draws.
 
-    Rows without a language, id or text teach nothing; without any other row the network knows
-    no language, and all documents come out as `und`. More than most_languages languages are refused.
+    Every language is learned. Rows without a language, id or text teach nothing; without any other
+    row the network knows no language, and all documents come out as `und`.
     """
     base = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where("lang is not null and text is not null and doc_id is not null")
     base = base.where(~held_out()).where(F.col("lang") != UNKNOWN)
-    counts = {r["lang"]: r["count"] for r in base.groupBy("lang").count().limit(most_languages + 1).collect()}
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    counts = {r["lang"]: r["count"] for r in base.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return Network.fresh([], 4, 0)
     spark = docs.sparkSession
-    shares = spark.createDataFrame([(k, min(1.0, per_language / n)) for k, n in counts.items()], "lang string, share double")
+    want = max(8, min(per_language, most_docs // len(counts)))
+    shares = spark.createDataFrame([(k, min(1.0, want / n)) for k, n in counts.items()], "lang string, share double")
     chance = (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)).cast("double")
-    rows = base.join(F.broadcast(shares), "lang").where(chance < F.col("share")).where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(8), "doc_id").alias("h"), "doc_id")
-    rows = rows.orderBy("h", "doc_id", "lang").limit(2 * per_language * len(counts)).collect()
+    h = F.xxhash64(F.lit(8), "doc_id")
+    place = F.pmod(h, F.greatest(F.length("text") - excerpt, F.lit(0)) + 1).cast("int") + 1
+    rows = base.join(shares, "lang").where(chance < F.col("share")).where(F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("lang", F.substring("text", place, F.lit(excerpt)).alias("text"), h.alias("h"), "doc_id")
+    rows = rows.orderBy("h", "doc_id", "lang", "text").limit(2 * want * len(counts)).collect()
     samples: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"])):
         samples.setdefault(r["lang"], []).append(r["text"].encode())
@@ -204,25 +241,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-_TOOLS: dict[bytes, Labeller] = {}
-
-
-def _labeller(net: Network) -> Labeller:
-    use_cache("language", _TOOLS.clear)
-    key = b"".join([w.tobytes() for w in net.weights()]) + repr(net.labels).encode()
-    if key not in _TOOLS:
-        _TOOLS.clear()
-        _TOOLS[key] = Labeller(net)
-    return _TOOLS[key]
 
 
-def predicted(net: Network, texts: list[bytes]) -> list[tuple[str, float]]:
-    """The likeliest language of each whole text and its pooled probability."""
+def predicted(net: Network, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The likeliest language of each whole text and its pooled probability; `und` and 0 without a letter."""
+    letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
     if not net.labels:
-        return [(UNKNOWN, 0.0) for _ in texts]
-    p = _labeller(net)(texts)
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    p = pooled(net, texts)
     best = p.argmax(axis=1)
-    return [(net.labels[k], min(1.0, max(0.0, float(p[i, k])))) if LETTER.search(t.decode("utf-8", "replace")) else (UNKNOWN, 0.0) for i, (k, t) in enumerate(zip(best, texts, strict=True))]
+    score = np.clip(p[np.arange(len(p)), best], 0, 1) * letters
+    return [net.labels[k] if known else UNKNOWN for k, known in zip(best.tolist(), letters.tolist(), strict=True)], score
 
 
 def identify_languages(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,9 +262,10 @@ def identify_languages(docs: DataFrame, net: Network, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch["text"])
-            out = [x for at in range(0, len(texts), 500) for x in predicted(net, texts[at : at + 500])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())], schema=RESULT)
+            for part in slices(batch):
+                lang, score = predicted(net, part["text"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(lang, pa.string()), pa.array(score)], schema=RESULT)
+        give_back()
 
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("held_out", held_out())
     return base.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -248,8 +278,9 @@ def with_language(docs: DataFrame, net: Network, text_col: str = "text") -> Data
     def label(text):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        texts = [(t or "").encode() for t in text]
-        return pd.DataFrame([x for at in range(0, len(texts), 500) for x in predicted(net, texts[at : at + 500])], columns=["lang_pred", "score"])
+        batch = pa.record_batch({"text": pa.array(text, pa.string(), from_pandas=True)})
+        found = [predicted(net, part["text"]) for part in slices(batch)]
+        return pd.DataFrame({"lang_pred": [x for langs, _ in found for x in langs], "score": [s for _, scores in found for s in scores.tolist()]})
 
     # else a filter on the result would be pushed below it with a labelling of its own
     return docs.withColumn("__language", label.asNondeterministic()(F.col(f"`{text_col}`")))
