@@ -7,7 +7,8 @@ itself: a grid over its first two coordinates, cells as wide as the block's radi
 meeting its own cell and four of the eight around it. Candidates are verified in double
 precision on the original vectors. A pair counts in its first block within budget, so the
 union needs no second shuffle; a cell sends, per vector, its number of links and the root of
-its tree of links, never the pairs. Cells with many points are split into tiles.
+its tree of links, never the pairs. The points of a cell and those that visit it from the cells
+around are dealt into tiles of bounded size, and a task holds two tiles.
 """
 
 from __future__ import annotations
@@ -16,32 +17,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ann import valid
 from .common import components, pick, written
 
 BLOCK_DIMS = 8
-#: Points that a tile of a cell owns.
-TILE_POINTS = 4096
+#: Points of a tile, and the most crowded cells that are broadcast.
+TILE_POINTS, BROADCAST_CELLS = 4096, 500_000
+AROUND = [(0, 1), (1, -1), (1, 0), (1, 1)]
 #: Slack for rounding: candidates may be found in excess, never too few.
 SLACK = 1e-7
 
 
-def valid(column: str = "embedding") -> Column:
-    """Vectors that take part: not null, not zero, every component present and finite."""
-    c = F.col(column)
-    ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    return F.coalesce((F.size(c) > 0) & F.forall(c, ok) & F.exists(c, lambda x: x != 0), F.lit(False))
-
-
 def rotation(dims: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(17).standard_normal((dims, dims)))
     return q * np.sign(np.diag(r))
 
 
-def matrix(blobs: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(b, np.float64) for b in blobs])
+def blobs(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes: of single floats where these hold the values exactly, else of doubles."""
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    exact = (small == x).all(axis=1).tolist()
+    return [s.tobytes() if e else v.tobytes() for s, v, e in zip(small, x, exact, strict=True)]
+
+
+def matrix(held: list[bytes], dims: int) -> np.ndarray:
+    return np.stack([np.frombuffer(b, np.float64 if len(b) == 8 * dims else np.float32) for b in held]).astype(np.float64)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -110,16 +114,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing.
     Vectors of unlike lengths never link. Equal vectors are joined as one and their links counted
-    for each; an id that several rows hold counts each row as a vector, and their component is
-    shared. A null id is a row of its own, without links. An empty table gives an empty result.
+    for each; an id that several rows hold counts each row as a vector with links of its own (64
+    bits tell them apart), and their component is shared. A null id is a row of its own, without links. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     base = pick(vectors, vec_id=id_col, embedding=vector_col).withColumn("vec_id", F.col("vec_id").cast("long"))
     base = base.withColumn("embedding", F.col("embedding").cast("array<double>"))
     base = base.withColumn("embedding", F.when(valid() & F.col("vec_id").isNotNull(), F.transform("embedding", lambda x: x + 0.0)))
     budget = 2 * (1 - threshold)
-    classes = written(base.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "classes")
-    schema = pa.schema([("block", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("dims", pa.int32()), ("id", pa.int64()), ("own", pa.bool_()), ("vector", pa.binary()), ("n", pa.int64())])
+    classes = written(base.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("h", F.xxhash64("embedding")), "classes")
+    schema = pa.schema([("block", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("dims", pa.int32()), ("id", pa.int64()), ("own", pa.bool_()), ("vector", pa.binary()), ("n", pa.int64()), ("h", pa.int64())])
 
     def placed(counting: bool):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,44 +132,56 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 dims = np.diff(lists.offsets.to_numpy())
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 starts = np.concatenate([[0], np.cumsum(dims)[:-1]]) if len(dims) else dims
-                ids, n = batch["id"].to_numpy(), batch["n"].to_numpy()
+                ids, n, h = (batch[c].to_numpy() for c in ("id", "n", "h"))
                 for d in np.unique(dims):
                     rows = np.flatnonzero(dims == d)
-                    x = unit(flat[starts[rows][:, None] + np.arange(d)])
-                    rotated = x @ rotation(int(d))
-                    blobs = None if counting else [v.tobytes() for v in x]
+                    x = flat[starts[rows][:, None] + np.arange(d)]
+                    rotated = unit(x) @ rotation(int(d))
+                    held = None if counting else blobs(x)
                     for k, part in enumerate(blocks(int(d))):
                         cell = _cells(rotated, part, budget)
-                        for dx, dy in [(0, 0)] if counting else [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]:
+                        for dx, dy in [(0, 0)] if counting else [(0, 0), *AROUND]:
                             m = len(rows)
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, k, np.int32)), pa.array(cell[:, 0] + dx), pa.array(cell[:, 1] + dy), pa.array(np.full(m, d, np.int32)), pa.array(ids[rows]), pa.array(np.full(m, dx == dy == 0)), pa.array(blobs if blobs else [None] * m, pa.binary()), pa.array(n[rows])], schema=schema)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, k, np.int32)), pa.array(cell[:, 0] + dx), pa.array(cell[:, 1] + dy), pa.array(np.full(m, d, np.int32)), pa.array(ids[rows]), pa.array(np.full(m, dx == dy == 0)), pa.array(held if held else [None] * m, pa.binary()), pa.array(n[rows]), pa.array(h[rows])], schema=schema)
 
         return run
 
-    sql = "block int, x long, y long, dims int, id long, own boolean, vector binary, n long"
+    sql = "block int, x long, y long, dims int, id long, own boolean, vector binary, n long, h long"
     key = ["dims", "block", "x", "y"]
-    # the cells are bounded by the grid (unit vectors, two coordinates), whatever the number of rows
     counts = classes.mapInArrow(placed(True), sql).groupBy(*key).agg(F.count("*").alias("points"))
-    heavy = counts.where(F.col("points") > tile_points).withColumn("tiles", F.ceil(F.col("points") / tile_points).cast("int")).drop("points")
-    spread = classes.mapInArrow(placed(False), sql).join(F.broadcast(heavy), key, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    # an own point is owned by one tile and met as a guest by the earlier ones; a point of a nearby cell is a guest of all
-    spread = spread.withColumn("home", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    spread = spread.withColumn("tile", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("home"))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))))
-    spread = spread.withColumn("own", F.col("own") & (F.col("home") == F.col("tile")))
-    result = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    visits = counts.withColumn("d", F.explode(F.array(*[F.struct(F.lit(dx).alias("x"), F.lit(dy).alias("y")) for dx, dy in AROUND])))
+    visits = visits.select("dims", "block", (F.col("x") + F.col("d.x")).alias("x"), (F.col("y") + F.col("d.y")).alias("y"), F.lit(0).alias("points"), F.col("points").alias("guests"))
+    cells = counts.withColumn("guests", F.lit(0)).unionByName(visits).groupBy(*key).agg(F.sum("points").alias("points"), F.sum("guests").alias("guests"))
+    tiles = lambda c: F.greatest(F.ceil(F.col(c) / tile_points), F.lit(1)).cast("int")
+    heavy = written(cells.where((F.col("points") > tile_points) | ((F.col("guests") > tile_points) & (F.col("points") > 0))).select(*key, tiles("points").alias("own_tiles"), tiles("guests").alias("guest_tiles")), "heavy")
+    heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_CELLS else heavy
+    spread = classes.mapInArrow(placed(False), sql).join(heavy, key, "left").withColumn("own_tiles", F.coalesce("own_tiles", F.lit(1))).withColumn("guest_tiles", F.coalesce("guest_tiles", F.lit(1)))
+    # task (i, j) holds the own tiles i <= j, task (i, -1 - g) the own tile i and the guests of tile g; all in one task where there is one of each
+    home = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+    to = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    own_tasks = F.concat(F.transform(F.sequence(F.lit(0), F.col("own_tiles") - 1), lambda t: to(F.least(t, F.col("home")), F.greatest(t, F.col("home")))), F.transform(F.sequence(F.lit(0), F.col("guest_tiles") - 1), lambda g: to(F.col("home"), -1 - g)))
+    guest_tasks = F.transform(F.sequence(F.lit(0), F.col("own_tiles") - 1), lambda t: to(t, -1 - F.col("home")))
+    single = F.array(to(F.lit(0), F.lit(0)))
+    spread = spread.withColumn("home", F.when(F.col("own"), home("own_tiles")).otherwise(home("guest_tiles")))
+    spread = spread.withColumn("task", F.explode(F.when((F.col("own_tiles") == 1) & (F.col("guest_tiles") == 1), single).when(F.col("own"), own_tasks).otherwise(guest_tasks)))
+    # the sides of a task: its owners (of tile i) and whom they meet
+    spread = spread.select(*key, "id", "h", "vector", "n", F.col("task.i").alias("i"), F.col("task.j").alias("j"), (F.col("own") & (F.col("home") == F.col("task.i"))).alias("own"))
+    result = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
         block = key[1].as_py()
         mine = table["own"].to_numpy(zero_copy_only=False)
         if not mine.any():
             return result.empty_table()
-        ids, n = table["id"].to_numpy(), table["n"].to_numpy()
-        x = matrix(table["vector"].to_pylist())
+        ids, n, h = (table[c].to_numpy() for c in ("id", "n", "h"))
+        x = unit(matrix(table["vector"].to_pylist(), key[0].as_py()))
         order = np.lexsort((ids, ~mine))
-        ids, n, x, mine = ids[order], n[order], x[order], mine[order]
+        ids, n, h, x, mine = ids[order], n[order], h[order], x[order], mine[order]
         m = int(mine.sum())
         turn = rotation(x.shape[1])
-        i, j = _found(x[:m], ids[:m], x[:m], ids[:m], block, budget, True, turn)
+        i, j = np.empty(0, np.int64), np.empty(0, np.int64)
+        if key[4].as_py() == key[5].as_py():
+            i, j = _found(x[:m], ids[:m], x[:m], ids[:m], block, budget, True, turn)
         if m < len(ids):
             i2, j2 = _found(x[:m], ids[:m], x[m:], ids[m:], block, budget, False, turn)
             i, j = np.concatenate([i, i2]), np.concatenate([j, j2 + m])
@@ -174,12 +190,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         np.add.at(links, j, n[i])
         hit = np.flatnonzero(links)
         root = _trees(len(ids), i, j)
-        return pa.Table.from_arrays([pa.array(ids[hit]), pa.array(links[hit]), pa.array(ids[root[hit]])], schema=result)
+        return pa.Table.from_arrays([pa.array(ids[hit]), pa.array(h[hit]), pa.array(links[hit]), pa.array(ids[root[hit]])], schema=result)
 
-    found = written(spread.groupBy(*key, "tile").applyInArrow(join, "id long, links long, root long"), "links")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    found = written(spread.groupBy(*key, "i", "j").applyInArrow(join, "id long, h long, links long, root long"), "links")
+    links = found.groupBy("id", "h").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    done = classes.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    done = classes.join(links, ["id", "h"], "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
     done = done.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     out = base.join(done, "embedding", "left")
     component = F.coalesce("component_id", "vec_id")
