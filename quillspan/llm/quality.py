@@ -2,9 +2,9 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on every document. Expectation
 maximisation over the counts of vote patterns of all documents estimates each labeller's
-accuracy without any gold label; the posteriors of the patterns then label a bounded sample,
-on which a linear scorer over hashed words and shape features is trained. It scores every
-whole text.
+accuracy without any gold label, under Beta priors that the counts outweigh; the posteriors
+of the patterns then label a bounded sample, on which a linear scorer over hashed words and
+shape features is trained. It scores every whole text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, pick, text_bytes, written
+from .common import CACHE_WORDS, give_back, pick, slices, text_bytes, use_cache, written
 
 #: Slots of hashed words, and documents that the scorer is trained on.
 SLOTS, TRAINED_ON = 1 << 15, 4000
@@ -33,81 +33,90 @@ def shape(text: bytes, words: list[bytes]) -> list[float]:
     """Shape features of a text, none of which depends on its language."""
     n, size = len(words), max(1, len(text))
     if not n:
-        return [0.0] * 8
+        return [0.0] * 9
     lines = [x for x in text.split(b"\n") if x.strip()]
     marks = size - len(text.translate(None, MARKS))
     upper = size - len(text.translate(None, LETTERS[26:]))
     lower = size - len(text.translate(None, LETTERS[:26]))
     digits = size - len(text.translate(None, b"0123456789"))
-    return [marks / size, upper / max(1, upper + lower), digits / size, 1 - len(set(lines)) / max(1, len(lines)), 1 - len(set(words)) / n, (size - n) / n, sum(w.strip(EDGES).lower() in ABUSE for w in words) / n, float(n)]
+    bare = sum(not w.translate(None, MARKS) for w in words if len(w) < 4)
+    abuse = sum(w.strip(EDGES).lower() in ABUSE for w in words)
+    return [marks / size, upper / max(1, upper + lower), digits / size, 1 - len(set(lines)) / max(1, len(lines)), 1 - len(set(words)) / n, (size - n) / n, abuse / n, bare / n, float(n)]
 
 
 def votes(features: list[float]) -> list[int]:
     """Each labeller's vote: 1 good, 0 bad, -1 none."""
-    marks, upper, digits, lines, repeats, length, abuse, n = features
+    marks, upper, digits, lines, repeats, length, abuse, bare, n = features
 
     def by(value: float, good: float, bad: float) -> int:
         return 1 if value <= good else 0 if value >= bad else -1
 
     return [
-        by(marks, 0.05, 0.12),
-        by(upper, 0.1, 0.4) if n >= 5 else -1,
+        by(marks, 0.05, 0.1),
+        by(upper, 0.1, 0.35) if n >= 5 else -1,
         by(digits, 0.05, 0.25),
         by(lines, 0.1, 0.5),
-        by(repeats, 0.7, 0.9) if n >= 50 else -1,
+        by(repeats, 0.6, 0.75) if n >= 50 else -1,
         1 if 3 <= length <= 12 else 0 if length < 2 or length > 20 else -1,
         by(abuse, 0.0, 0.01) if n >= 20 else -1,
+        by(bare, 0.05, 0.2),
         1 if n >= 40 else 0 if n < 2 else -1,
     ]
 
 
-LABELLERS = 8
-#: Bounds of the label model: bad votes on good texts, and on bad ones.
-FALSE_ALARM, CAUGHT = 0.001, (0.15, 0.9)
+LABELLERS = 9
+#: Priors of the label model: mean share of bad votes on good texts, on a labeller's own kind of bad text and on other
+#: kinds; mean share of good texts; and how many documents each prior weighs, as a share of all.
+FALSE_ALARM, CAUGHT, OVERLAP, GOOD, PRIOR_WEIGHT = 0.005, 0.8, 0.05, 0.8, 0.02
 
 
 @dataclass
 class LabelModel:
-    """P(good) and, for each labeller, P(vote | good or bad) over bad, good, none."""
+    """Classes: good texts, then a kind of bad text for each labeller. Their shares, and P(bad vote | class) by labeller."""
 
-    prior: float
+    shares: np.ndarray
     table: np.ndarray
 
+    def classes(self, patterns: np.ndarray) -> np.ndarray:
+        """P(class) for vote rows; a labeller that says nothing tells nothing."""
+        bad, good = (patterns == 0).astype(float), (patterns == 1).astype(float)
+        odds = np.log(self.shares) + bad @ np.log(self.table.T) + good @ np.log1p(-self.table.T)
+        p = np.exp(odds - odds.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """P(good) for vote rows."""
-        odds = np.full(len(patterns), np.log(self.prior) - np.log1p(-self.prior))
-        for k in range(patterns.shape[1]):
-            # a labeller that says nothing tells nothing
-            told = patterns[:, k] >= 0
-            vote = np.maximum(patterns[:, k], 0)
-            odds += np.where(told, np.log(self.table[1, k, vote]) - np.log(self.table[0, k, vote]), 0)
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        return self.classes(patterns)[:, 0] if len(patterns) else np.empty(0)
+
+    def rates(self) -> np.ndarray:
+        """Each labeller's share of bad votes on good texts, and on bad ones of all kinds."""
+        kinds = self.shares[1:] / self.shares[1:].sum()
+        return np.stack([self.table[0], kinds @ self.table[1:]])
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
-    """Expectation maximisation over vote patterns and their counts.
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, *, weight: float = PRIOR_WEIGHT) -> LabelModel:
+    """Expectation maximisation over vote patterns and their counts, to the posterior mode under Beta and Dirichlet priors.
 
-    The labellers are written for precision: each looks for one kind of bad text, and seldom
-    votes bad on a good one. So on good texts their share of bad votes is held to FALSE_ALARM
-    at most, and on bad texts between the bounds CAUGHT, where most of them see nothing.
+    Each labeller looks for one kind of bad text, and labellers overlap: a text of one kind
+    may be voted bad by the labellers of others too. So bad texts are a mixture of as many
+    kinds as there are labellers; with one class for all of them, votes of those that look for
+    other kinds would outvote the one that sees it. The priors say that labellers are
+    precise; they weigh as much as a share `weight` of the documents, at every size, and no rate
+    is bounded.
     """
-    table = np.empty((2, patterns.shape[1], 2))
-    table[1], table[0] = (0.01, 0.99), (0.5, 0.5)
-    model = LabelModel(0.8, table)
+    total, kinds = max(1.0, float(counts.sum())), patterns.shape[1]
+    means = np.concatenate([np.full((1, kinds), FALSE_ALARM), np.where(np.eye(kinds, dtype=bool), CAUGHT, OVERLAP)])
+    shares = np.concatenate([[GOOD], np.full(kinds, (1 - GOOD) / kinds)])
+    own = weight * total * shares
+    model = LabelModel(shares, means)
+    bad, told = (patterns == 0).astype(float), (patterns >= 0).astype(float)
     for _ in range(rounds):
-        p = model.posterior(patterns)
-        weight = np.stack([(1 - p) * counts, p * counts])
-        prior = float(np.clip(weight[1].sum() / max(1, counts.sum()), 0.5, 0.9))
-        new = np.empty_like(table)
-        for side in (0, 1):
-            for k in range(patterns.shape[1]):
-                bad, good = (weight[side][patterns[:, k] == v].sum() for v in (0, 1))
-                rate = (bad + 0.5) / (good + bad + 1)
-                rate = min(rate, FALSE_ALARM) if side else min(max(rate, CAUGHT[0]), CAUGHT[1])
-                new[side, k] = (rate, 1 - rate)
-        if np.abs(new - model.table).max() < 1e-7:
+        held = model.classes(patterns) * counts[:, None]
+        table = (held.T @ bad + own[:, None] * means) / (held.T @ told + own[:, None])
+        moved = np.abs(table - model.table).max()
+        model = LabelModel((held.sum(axis=0) + own) / (total + own.sum()), table)
+        if moved < 1e-7:
             break
-        model = LabelModel(prior, np.clip(new, 1e-4, 1 - 1e-4))
     return model
 
 
@@ -120,26 +129,27 @@ class Slots(dict):
 
 
 SLOT = Slots()
-N_SHAPE = 7
+N_SHAPE = 8
 
 
 def _inputs(features: list[float], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the words, and the shape inputs in [0, 1]."""
-    marks, upper, digits, lines, repeats, length, abuse, n = features
-    shaped = np.array([min(1, 5 * marks), upper, min(1, 3 * digits), lines, repeats, min(1, 50 * abuse), 1 / (1 + n / 10)])
+    marks, upper, digits, lines, repeats, length, abuse, bare, n = features
+    shaped = np.array([min(1, 5 * marks), upper, min(1, 3 * digits), lines, repeats, min(1, 50 * abuse), bare, 1 / (1 + n / 10)])
     return np.fromiter(map(SLOT.__getitem__, words), np.int64, len(words)), shaped
 
 
-def train(texts: list[bytes], label: np.ndarray, *, rounds: int = 12, seed: int = 5) -> np.ndarray:
-    """Weights of the linear scorer (SLOTS, then shape, then bias): logistic loss on soft labels, AdaGrad."""
+def _sparse(features: list[float], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of a text's inputs: shares of the slots, shape, bias."""
+    slots, shaped = _inputs(features, words)
+    place, count = np.unique(slots, return_counts=True)
+    return np.concatenate([place, np.arange(SLOTS, SLOTS + N_SHAPE + 1)]), np.concatenate([count / max(1, len(words)), shaped, [1.0]])
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, *, rounds: int = 12, seed: int = 5) -> np.ndarray:
+    """Weights of the linear scorer (SLOTS, then shape, then bias) from places and values: logistic loss on soft labels, AdaGrad."""
     rng = np.random.default_rng(seed)
     weights, seen = np.zeros(SLOTS + N_SHAPE + 1), np.full(SLOTS + N_SHAPE + 1, 1e-6)
-    rows = []
-    for t in texts:
-        words = t.split()
-        slots, shaped = _inputs(shape(t, words), words)
-        place, count = np.unique(slots, return_counts=True)
-        rows.append((np.concatenate([place, np.arange(SLOTS, SLOTS + N_SHAPE + 1)]), np.concatenate([count / max(1, len(words)), shaped, [1.0]])))
     for _ in range(rounds):
         for k in rng.permutation(len(rows)):
             at, x = rows[k]
@@ -165,7 +175,7 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, score (probability of good, 0 to 1), weak_label (the label model's posterior) and kept (score >= keep_from).
 
     The vote patterns of all documents are counted; the scorer is trained on at most trained_on
-    documents, chosen by a hash of id and text. Null and empty texts have score 0 and are not kept.
+    distinct documents, chosen by a hash of id and text. Null and empty texts have score 0 and are not kept.
     Rows that repeat an id are scored each by itself; null ids are scored too. An empty table
     gives an empty result.
     """
@@ -174,8 +184,9 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [_vote_code(votes(shape(t, t.split()))) for t in text_bytes(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["h"], pa.array(codes, pa.int32())], schema=voted_schema)
+            for part in slices(batch):
+                codes = [_vote_code(votes(shape(t, t.split()))) for t in text_bytes(part["text"])]
+                yield pa.RecordBatch.from_arrays([part["h"], pa.array(codes, pa.int32())], schema=voted_schema)
 
     h = F.xxhash64(F.lit(21), "doc_id", "text")
     voted = written(base.select(h.alias("h"), "text").mapInArrow(vote, "h long, code int"), "votes")
@@ -187,27 +198,41 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     patterns, n = _patterns([c for c, _ in codes]), np.array([k for _, k in codes], float)
     model = estimate(patterns, n)
     least = voted.select("h").orderBy("h").limit(trained_on).agg(F.max("h")).first()[0]
-    sample = base.withColumn("h", h).where(F.col("h") <= least).select("text", "h").orderBy("h", "text").limit(2 * trained_on).collect()
-    texts = [(r["text"] or "").encode() for r in sample]
-    label = model.posterior(np.array([votes(shape(t, t.split())) for t in texts]).reshape(-1, LABELLERS))
-    weights = train(texts, label)
+    sparse_schema = pa.schema([("h", pa.int64()), ("code", pa.int32()), ("place", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))])
+
+    def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                cut = [(t, t.split()) for t in text_bytes(part["text"])]
+                shapes = [shape(t, words) for t, words in cut]
+                rows = [_sparse(f, words) for f, (_, words) in zip(shapes, cut, strict=True)]
+                yield pa.RecordBatch.from_arrays([part["h"], pa.array([_vote_code(votes(f)) for f in shapes], pa.int32()), pa.array([p for p, _ in rows], pa.list_(pa.int32())), pa.array([v for _, v in rows], pa.list_(pa.float64()))], schema=sparse_schema)
+
+    # whole texts become at most SLOTS shares each on the executors; rows of one hash are the same row's copies
+    sample = base.withColumn("h", h).where(F.col("h") <= least).select("h", "text").groupBy("h").agg(F.first("text").alias("text"))
+    sample = sorted(sample.mapInArrow(inputs, "h long, code int, place array<int>, value array<double>").collect(), key=lambda r: r["h"])
+    label = model.posterior(_patterns([r["code"] for r in sample]))
+    weights = train([(np.array(r["place"]), np.array(r["value"])) for r in sample], label)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("weak_label", pa.float64()), ("kept", pa.bool_())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("slots", SLOT.clear)
         for batch in batches:
-            scores, voted = [], []
-            for t in text_bytes(batch["text"]):
-                words = t.split()
-                features = shape(t, words)
-                voted.append(votes(features))
-                if not words:
-                    scores.append(0.0)
-                    continue
-                slots, shaped = _inputs(features, words)
-                z = weights[slots].sum() / len(words) + weights[SLOTS:-1] @ shaped + weights[-1]
-                scores.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-            weak = model.posterior(np.array(voted).reshape(-1, LABELLERS))
-            s = np.array(scores)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(s), pa.array(weak), pa.array(s >= keep_from)], schema=schema)
+            for part in slices(batch):
+                scores, voted = [], []
+                for t in text_bytes(part["text"]):
+                    words = t.split()
+                    features = shape(t, words)
+                    voted.append(votes(features))
+                    if not words:
+                        scores.append(0.0)
+                        continue
+                    slots, shaped = _inputs(features, words)
+                    z = weights[slots].sum() / len(words) + weights[SLOTS:-1] @ shaped + weights[-1]
+                    scores.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
+                weak = model.posterior(np.array(voted).reshape(-1, LABELLERS))
+                s = np.array(scores)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(s), pa.array(weak), pa.array(s >= keep_from)], schema=schema)
+        give_back()
 
     return base.select("doc_id", "text").mapInArrow(score, "doc_id long, score double, weak_label double, kept boolean")
