@@ -38,7 +38,7 @@ GROUPS = rf"(?<![^{SPACES}:=]){GROUP}(?:\x20{GROUP})++"
 #: What is cut off a token: a label and punctuation before it, punctuation behind it.
 LEAD = r"^(?:\p{L}++[:=]++)?[^\p{L}0-9@+]*+"
 TAIL = r"(?<![^\p{L}0-9])[^\p{L}0-9]++\z"
-#: Code points before an instance in which its two words are looked for.
+#: Code points before an instance that its words are taken from; of a word that is longer the last ones stand for it.
 CONTEXT = 64
 #: Fewest distinct known instances of a pattern, the least share of one kind among them, and the least score of a new instance.
 SUPPORT, CONFIDENCE, SCORE = 5, 0.9, 0.9
@@ -184,33 +184,37 @@ def _known(instances: DataFrame) -> DataFrame:
     return found
 
 
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that stand for an id and a text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary")))
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_hash and spans: array<struct<kind, start, end>> of code points (end exclusive), base and added, and base.
+    """doc_id, row_key and spans: array<struct<kind, start, end>> of code points (end exclusive), base and added, and base.
 
     Spans are ordered by kind (as listed in KINDS), then start. Added spans never overlap a
     base span. A null or empty text has none; one row per distinct (doc_id, text) of the
-    input is kept apart by row_hash, repeated rows come out repeated. An empty table gives
+    input is kept apart by row_key, repeated rows come out repeated. An empty table gives
     an empty result.
     """
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     spans = base_spans(F.col("text"))
-    hash_ = F.xxhash64("doc_id", "text", F.octet_length("text"))
-    scanned = base.select("doc_id", hash_.alias("row_hash"), F.concat(*[spans[k] for k in KINDS]).alias("seeds"), F.when(F.col("text").rlike("[0-9@]"), _instances(F.col("text"))).otherwise(F.array().cast(f"array<{INSTANCE}>")).alias("instances"))
+    scanned = base.select("doc_id", _row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.concat(*[spans[k] for k in KINDS]).alias("seeds"), F.when(F.col("text").rlike("[0-9@]"), _instances(F.col("text"))).otherwise(F.array().cast(f"array<{INSTANCE}>")).alias("instances"))
     scanned = written(scanned, "pii")
     other = F.filter("instances", lambda m: ~F.exists("seeds", lambda b: _overlaps(m, b)))
-    cells = scanned.select("row_hash", F.explode(F.concat("seeds", other)).alias("m")).select("row_hash", "m.*")
+    cells = scanned.select("row_key", F.explode(F.concat("seeds", other)).alias("m")).select("row_key", "m.*")
     scanned = scanned.withColumn("base", F.transform("seeds", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
     edges = cells.select("token", "kind", F.explode(_patterns(F.col("start"), F.col("context"))).alias("pattern"))
     new = _known(edges)
-    added = cells.where("kind is null").select("row_hash", "start", "end", "token").distinct().join(new, "token")
+    added = cells.where("kind is null").select("row_key", "start", "end", "token").distinct().join(new, "token")
     # of digit groups and a token in them the longer
-    before = Window.partitionBy("row_hash").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    added = added.withColumn("reached", F.max("end").over(before)).where(F.coalesce(F.col("end") > F.col("reached"), F.lit(True))).groupBy("row_hash").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
-    out = scanned.select("doc_id", "row_hash", "base").join(added, "row_hash", "left")
+    before = Window.partitionBy("row_key").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    added = added.withColumn("reached", F.max("end").over(before)).where(F.coalesce(F.col("end") > F.col("reached"), F.lit(True))).groupBy("row_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    out = scanned.select("doc_id", "row_key", "base").join(added, "row_key", "left")
     every = F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))
     order = lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).cast("int").alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     every = F.transform(F.array_sort(F.transform(every, order)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return out.select("doc_id", "row_hash", "base", every.alias("spans"))
+    return out.select("doc_id", "row_key", "base", every.alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -220,12 +224,12 @@ def listed(spans: Column) -> Column:
 
 def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with every span of personal data replaced by its kind in angle brackets; other texts stay as they are."""
-    found = find_pii(docs, id_col, text_col).where(F.size("spans") > 0).groupBy("row_hash").agg(F.first("spans").alias("__spans"))
+    found = find_pii(docs, id_col, text_col).where(F.size("spans") > 0).groupBy("row_key").agg(F.first("spans").alias("__spans"))
     text = F.col(f"`{text_col}`")
     # spans may overlap across kinds: they are taken in order of start, and what is behind a masked end is left out
     by_start = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(F.lit(""))).alias("out"), s["end"].alias("at")))
     masked = F.aggregate(by_start, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    keyed = docs.withColumn("__row", F.xxhash64(f"`{id_col}`", F.coalesce(text, F.lit("")), F.octet_length(F.coalesce(text, F.lit("")))))
-    joined = keyed.join(found, F.col("__row") == F.col("row_hash"), "left")
+    keyed = docs.withColumn("__row", _row_key(F.col(f"`{id_col}`"), text))
+    joined = keyed.join(found, F.col("__row") == F.col("row_key"), "left")
     return joined.select(*[F.when(F.col("__spans").isNotNull(), masked).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
