@@ -44,6 +44,8 @@ FILE_BYTES = 32 << 20
 #: Ranges of files whose starts are added up together.
 FILES_TOGETHER = 1_000
 LEVEL = 1
+#: Bytes of remembered pieces in a Python worker: most of the time goes into pieces that were forgotten.
+MEMORY = 112 << 20
 TABLE = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u8"), ("n", "<u8")])
 SEEK = np.dtype([("offset", "<u8"), ("size", "<u8"), ("n", "<u8"), ("crc", "<u4")])
 FOOTER = struct.Struct("<QQQI8s")
@@ -70,7 +72,7 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # the byte-level alphabet has one character for each byte
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.pieces = Lexicon(self._pieces)
+        self.pieces = Lexicon(self._pieces, MEMORY)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,18 +80,19 @@ class Encoder:
     def _pieces(self, words: list[str]) -> list[bytes]:
         """The ids of each piece. Pieces that start at a space are encoded many in a string and told apart by their bytes."""
         out: list[bytes] = [b""] * len(words)
-        together = [k for k, w in enumerate(words) if w[0] == " " and not w[-1].isspace()]
-        apart = sorted(set(range(len(words))).difference(together))
+        apart = [k for k, w in enumerate(words) if w[0] != " " or w[-1].isspace()]
+        lone = set(apart)
+        together = [k for k in range(len(words)) if k not in lone] if apart else range(len(words))
         for k, ids in zip(apart, self._whole([words[k] for k in apart]), strict=True):
             out[k] = ids.tobytes()
-        strings = ["".join([words[k] for k in together[at : at + 512]]) for at in range(0, len(together), 512)]
+        strings = ["".join([words[k] for k in together[at : at + 64]]) for at in range(0, len(together), 64)]
         found = self._whole(strings)
         if found:
             ids = np.concatenate(found)
             ends = np.cumsum(self.width[ids])
-            size = np.fromiter((len(words[k].encode()) for k in together), np.int64, len(together))
-            cut = np.searchsorted(ends, np.cumsum(size)) + 1
-            if (ends[cut - 1] != np.cumsum(size)).any():
+            past = np.cumsum(pc.binary_length(pa.array([words[k] for k in together]) if apart else pa.array(words)).to_numpy().astype(np.int64))
+            cut = np.searchsorted(ends, past) + 1
+            if (ends[cut - 1] != past).any():
                 raise ValueError("a token of this tokenizer crosses a space")
             raw, at = ids.tobytes(), 0
             for k, end in zip(together, (4 * cut).tolist(), strict=True):
@@ -109,11 +112,11 @@ class Encoder:
         if len(plain):
             distinct, codes, bounds = split_words(texts.take(pa.array(plain)))
             codes = codes.astype(np.int64)
-            words = distinct.to_pylist()
+            words = pc.binary_join_element_wise("", distinct, " ").to_pylist()
             # the first piece of a text has no space before it
             first, place = np.unique(codes[bounds[:-1]], return_inverse=True)
             codes[bounds[:-1]] = len(words) + place
-            values = self.pieces([" " + w for w in words] + [words[k] for k in first])
+            values = self.pieces(words + [words[k][1:] for k in first])
             for k, ids in zip(plain.tolist(), joined(values, codes, bounds), strict=True):
                 out[k] = ids
         return out
