@@ -4,7 +4,7 @@ Passages that recur are confirmed first, compiled into sharded Aho-Corasick
 automata over word numbers, and every document is streamed through the automaton
 of its shard, which locates every occurrence.
 
-The documents are dealt into chunks by a hash of doc_id; a chunk is also a shard of
+The documents are dealt into chunks by a hash of doc_id and text; a chunk is also a shard of
 the automata. Chunks talk by messages, so no hot passage meets in one task:
 
 1. keys: each window of 13 words is named by its least 6-word hash (a minimiser, so
@@ -333,9 +333,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     n_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = int(max(least_chunks, -(-n_bytes // chunk_bytes)))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_chunks, 2000) // 2, 1)
-    place = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))
-    base = base.withColumn("to", F.pmod(place, F.lit(n_chunks)).cast("int")).repartition(parts, "to")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_chunks // 2)
+    # rows of one id may lie in several chunks: what a chunk's first document lacks is settled by the second round
+    base = base.withColumn("to", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int")).repartition(parts, "to")
 
     def keys(key: tuple, table: pa.Table) -> pa.Table:
         chunk = Chunk(table)
