@@ -90,22 +90,22 @@ def use_cache(owner: str, clear: Callable[[], None]) -> None:
     _HELD[:] = [owner, clear]
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, remembered for the words met lately."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of some texts in order, and where each text's start and end.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-HASHES = WordHashes()
-
-
-def hashed_words(words: list[bytes]) -> np.ndarray:
-    use_cache("hashes", HASHES.clear)
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    Equal words are hashed once; nothing is kept.
+    """
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    coded = parts.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    codes = coded.indices.to_numpy()
+    bounds = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    if b"" in words:  # beside white space at an end
+        real = codes != words.index(b"")
+        bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+        codes = codes[real]
+    return hashes[codes], bounds
 
 
 class Lexicon:
@@ -153,9 +153,9 @@ def joined(values: list[bytes], codes: np.ndarray, bounds: np.ndarray) -> list[m
     return [whole[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int = "text") -> Iterator[pa.RecordBatch]:
     """The batch in parts of few rows and bytes of text; a long text is a part of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for at, size in enumerate(sizes.tolist()):
         if at > start and (held + size > SLICE_BYTES or at - start == SLICE_ROWS):

@@ -12,8 +12,7 @@ for each shingle.
 
 Signatures are cut into bands; documents that share a band are linked to the band's least
 document and the link is verified on the whole multisets. What verified links have not
-joined, but some band has brought together, is then verified as well, unless the
-signatures differ far too much.
+joined, but some band has brought together, is then verified as well.
 """
 
 from __future__ import annotations
@@ -25,24 +24,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, give_back, gram_hashes, hashed_words, mix, over_batches, pick, text_bytes, written
+from .common import components, give_back, gram_hashes, mix, over_batches, pick, word_hashes, written
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 PLACES = BANDS * ROWS
 #: Documents and shingles of a block of a band.
 BLOCK_DOCS, BLOCK_SHINGLES = 1_000, 1_000_000
-#: Words whose signatures are made together.
-BATCH_WORDS = 400_000
+#: Shingles whose signatures are made together.
+BATCH_SHINGLES = 100_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Hashes of the runs of five words, one per place; a shorter text is one run of all its words."""
-    if not words:
-        return np.empty(0, np.uint64)
-    return gram_hashes(hashed_words(words), min(WORDS, len(words)))
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of five words (given by their hashes), one per place; a shorter text is one run of all its words."""
+    return gram_hashes(words, min(WORDS, len(words))) if len(words) else words
+
+
+def shingled(texts: pa.Array) -> list[np.ndarray]:
+    """The shingles of each text."""
+    hashes, bounds = word_hashes(texts)
+    return [shingles(hashes[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -101,17 +104,16 @@ def signatures(documents: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     return out
 
 
-def _by_words(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
-    """The words of the texts, some texts at a time."""
-    part: list[list[bytes]] = []
+def _together(sets: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The sets in parts of few shingles; a large set is a part of its own."""
+    part: list[np.ndarray] = []
     held = 0
-    for text in texts:
-        words = text.split()
-        part.append(words)
-        held += len(words)
-        if held >= BATCH_WORDS:
+    for one in sets:
+        if part and held + len(one) > BATCH_SHINGLES:
             yield part
             part, held = [], 0
+        part.append(one)
+        held += len(one)
     if part:
         yield part
 
@@ -121,12 +123,9 @@ def sign(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n", pa.int64()), ("signature", pa.binary())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        n, blobs = [], []
-        for part in _by_words(text_bytes(batch["text"])):
-            sets = [shingles(w) for w in part]
-            n += [len(s) for s in sets]
-            blobs += [s.tobytes() for s in signatures(sets)]
-        return {"doc_id": batch["doc_id"].to_pylist(), "text_key": batch["text_key"].to_pylist(), "n": n, "signature": blobs}
+        sets = shingled(batch["text"])
+        blobs = [s.tobytes() for part in _together(sets) for s in signatures(part)]
+        return {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "n": [len(s) for s in sets], "signature": blobs}
 
     keyed = docs.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("text_key"), "text")
     return keyed.mapInArrow(over_batches(run, schema), "doc_id long, text_key binary, n long, signature binary")
@@ -151,7 +150,7 @@ def _bags(texts: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("bag", pa.binary())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch["doc_id"].to_pylist(), "bag": [np.sort(shingles(t.split())).tobytes() for t in text_bytes(batch["text"])]}
+        return {"doc_id": batch["doc_id"].to_pylist(), "bag": [np.sort(s).tobytes() for s in shingled(batch["text"])]}
 
     return texts.select("doc_id", "text").mapInArrow(over_batches(run, schema), "doc_id long, bag binary")
 
