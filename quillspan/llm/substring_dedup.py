@@ -26,14 +26,16 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, gram_hashes, hashed_words, pick, text_bytes
+from .common import NULL_ID, gram_hashes, pick, text_bytes, word_hashes
 
 WINDOW = 13
 GRAM = 6
@@ -60,15 +62,20 @@ class Chunk:
 
     def __init__(self, table: pa.Table) -> None:
         ids = table["doc_id"].combine_chunks().fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False)
-        texts = text_bytes(table["text"])
-        order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
-        self.ids = ids[order].astype(np.int64)
-        self.null = [table["doc_id"][i].as_py() is None for i in order] if (ids == NULL_ID).any() else None
-        self.words = [texts[i].split() for i in order]
-        self.start = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
+        texts = pc.fill_null(table["text"].combine_chunks(), "")
+        # by id, then text; the order of equal rows is all the same
+        order = pc.sort_indices(pa.table({"i": pa.array(ids), "t": texts}), [("i", "ascending"), ("t", "ascending")])
+        self.ids = ids[order.to_numpy()].astype(np.int64)
+        self.null = pc.is_null(table["doc_id"].combine_chunks()).take(order).to_pylist() if (ids == NULL_ID).any() else None
+        self.texts = texts.take(order)
+        self._hashes, self.start = word_hashes(self.texts)
+
+    @cached_property
+    def words(self) -> list[list[bytes]]:
+        return [t.split() for t in text_bytes(self.texts)]
 
     def hashes(self) -> np.ndarray:
-        return np.concatenate([hashed_words(w) for w in self.words] or [np.empty(0, np.uint64)])
+        return self._hashes
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Place of every window in the joined words, and its document's place in the chunk."""
