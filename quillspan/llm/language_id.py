@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import give_back, pick, slices
 
@@ -273,14 +274,15 @@ def identify_languages(docs: DataFrame, net: Network, id_col: str = "doc_id", te
 
 def with_language(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """The rows as they are, with a struct `__language` (lang_pred, score) beside them."""
+    schema = StructType([*docs.schema.fields, StructField("__language", StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())]))])
+    place = docs.columns.index(text_col)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def label(text):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        batch = pa.record_batch({"text": pa.array(text, pa.string(), from_pandas=True)})
-        found = [predicted(net, part["text"]) for part in slices(batch)]
-        return pd.DataFrame({"lang_pred": [x for langs, _ in found for x in langs], "score": [s for _, scores in found for s in scores.tolist()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, place):
+                lang, score = predicted(net, part.column(place))
+                found = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, "__language"])
+        give_back()
 
-    # else a filter on the result would be pushed below it with a labelling of its own
-    return docs.withColumn("__language", label.asNondeterministic()(F.col(f"`{text_col}`")))
+    return docs.mapInArrow(run, schema)
