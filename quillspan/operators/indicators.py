@@ -15,10 +15,10 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions.exprs import POST_MS, PRE_MS, RECONSULT_MS, response_use
 from .metrics import _mean, _median, inserted_text
+from .sessions import over_sessions
 
 #: What counts as an answer of the user to a shown suggestion (fixed values).
 ANSWERS = frozenset(("suggestion-select", "suggestion-close", "text-insert", "text-delete", "cursor-forward", "cursor-backward"))
@@ -97,18 +97,15 @@ def windows(events: list[dict[str, Any]]) -> list[dict[str, Any]]:
 def historical_sessions(events: DataFrame) -> DataFrame:
     """A row per session with its historical episodes. events: session_id, event_num, timestamp_ms, event_name, source, ops_json."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda e: e["event_num"])
+    def run(session_id: str, rows: list[dict[str, Any]]) -> dict[str, Any]:
         for e in rows:
             ops = json.loads(e["ops_json"]) if e["ops_json"] else None
             e["ops"] = ops if isinstance(ops, list) else None
         stamps = [e["timestamp_ms"] for e in rows]
         human = sum(len(inserted_text(e["ops"]) or "") for e in rows if e["event_name"] == "text-insert" and e["source"] == "user")
-        row = {"session_id": key[0].as_py(), "human_chars": human, "duration_s": (max(stamps) - min(stamps)) / 1000 if len(stamps) > 1 else None, "episodes": windows(rows)}
-        return pa.Table.from_pylist([row], SESSION)
+        return {"session_id": session_id, "human_chars": human, "duration_s": (max(stamps) - min(stamps)) / 1000 if len(stamps) > 1 else None, "episodes": windows(rows)}
 
-    used = events.select(F.col("session_id").cast("string"), "event_num", "timestamp_ms", "event_name", "source", "ops_json")
-    return used.groupBy("session_id").applyInArrow(run, from_arrow_schema(SESSION))
+    return over_sessions(events, ["event_num", "timestamp_ms", "event_name", "source", "ops_json"], run, SESSION)
 
 
 def _use(e: Column) -> Column:

@@ -5,19 +5,21 @@ from __future__ import annotations
 from collections import deque
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .requests import insertion
+from .sessions import over_sessions
+
 LIFECYCLE = ("suggestion-get", "suggestion-open", "suggestion-reopen", "suggestion-select", "suggestion-close")
-EPISODE_SQL = (
-    "session_id string, request_id string, request_event_num long, request_ts long, open_event_num long, open_ts long, request_to_open_ms long, "
-    "n_candidates int, selections int, insertions int, closes int, reopens int, was_dismissed boolean"
-)
-SELECTION_SQL = (
-    "session_id string, request_id string, request_event_num long, selection_id string, selection_event_num long, selected_index long, selected_text string, "
-    "request_to_selection_ms long, open_to_selection_ms long, insert_event_num long, insert_ts long, inserted_text string, close_event_num long"
+_LONGS = lambda names: [(n, pa.int64()) for n in names.split()]
+EPISODE = pa.struct([("request_id", pa.string()), *_LONGS("request_event_num request_ts open_event_num open_ts request_to_open_ms n_candidates selections insertions closes reopens"), ("was_dismissed", pa.bool_())])
+SELECTION = pa.struct(
+    [("request_id", pa.string()), *_LONGS("request_event_num"), ("selection_id", pa.string()), *_LONGS("selection_event_num selected_index"), ("selected_text", pa.string())]
+    + [*_LONGS("request_to_selection_ms open_to_selection_ms insert_event_num insert_ts"), ("inserted_text", pa.string()), *_LONGS("insert_start insert_end close_event_num"), ("was_inserted", pa.bool_())]
 )
+REPLAYED = pa.schema([("session_id", pa.string()), ("episodes", pa.list_(EPISODE)), ("selections", pa.list_(SELECTION))])
 
 
 def replay(session_id: str, events: list[dict[str, Any]]) -> tuple[list[dict], list[dict]]:
@@ -60,7 +62,7 @@ def replay(session_id: str, events: list[dict[str, Any]]) -> tuple[list[dict], l
                 "session_id": session_id, "request_id": active["request_id"], "request_event_num": active["request_event_num"],
                 "selection_id": f"{active['request_id']}:selection:{len(active['mine']) + 1:02d}", "selection_event_num": num, "selected_index": index, "selected_text": text,
                 "request_to_selection_ms": ts - active["request_ts"], "open_to_selection_ms": None if active["open_ts"] is None else ts - active["open_ts"],
-                "insert_event_num": None, "insert_ts": None, "inserted_text": None, "close_event_num": None, "episode": active,
+                "insert_event_num": None, "insert_ts": None, "inserted_text": None, "insert_start": None, "insert_end": None, "was_inserted": False, "close_event_num": None, "episode": active,
             }
             active["mine"].append(chosen)
             selections.append(chosen)
@@ -75,35 +77,38 @@ def replay(session_id: str, events: list[dict[str, Any]]) -> tuple[list[dict], l
             shown, active = active, None
         elif name == "text-insert" and event.get("source") == "api" and inserting:
             chosen = inserting.popleft()
-            chosen.update(insert_event_num=num, insert_ts=ts, inserted_text=event.get("inserted_text"))
+            span = event.get("insert_span") or {}
+            chosen.update(insert_event_num=num, insert_ts=ts, inserted_text=event.get("inserted_text"), insert_start=span.get("start"), insert_end=span.get("end"), was_inserted=event.get("inserted_text") is not None)
             shown = chosen["episode"]
     rows = [{**{k: e[k] for k in ("session_id", "request_id", "request_event_num", "request_ts", "open_event_num", "open_ts", "request_to_open_ms", "closes", "reopens", "was_dismissed")}, "n_candidates": len(e["candidates"]), "selections": len(e["mine"]), "insertions": sum(s["insert_event_num"] is not None for s in e["mine"])} for e in episodes]
     return rows, [{k: v for k, v in s.items() if k != "episode"} for s in selections]
 
 
-def _replayed(events: DataFrame, which: int, schema: str) -> DataFrame:
-    """One shuffle by session; only lifecycle events and api insertions reach Python."""
-    used = events.where(F.col("event_name").isin(*LIFECYCLE) | ((F.col("event_name") == "text-insert") & (F.col("source") == "api")))
-    names = [x.split()[0] for x in schema.split(", ")]
+def replayed(events: DataFrame) -> DataFrame:
+    """A row per session: its episodes and its selections. Only lifecycle events and api insertions reach Python.
+
+    events: session_id, event_num, timestamp_ms, event_name, source and, if at hand, ops_json, candidates, hover_index
+    and suggestion_index. Sessions without any of these events have no row.
+    """
+    insertion_ = (F.col("event_name") == "text-insert") & (F.col("source") == "api")
+    used = events.where(F.col("event_name").isin(*LIFECYCLE) | insertion_)
+    columns = ["event_num", "timestamp_ms", "event_name", "source", *[c for c in ("candidates", "hover_index", "suggestion_index") if c in events.columns]]
+    if "ops_json" in events.columns:
+        columns.append(F.when(insertion_, insertion()).alias("put"))
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["event_num", "timestamp_ms"], kind="stable").astype(object)
-        rows = replay(str(key[0]), frame.where(frame.notna(), None).to_dict("records"))[which]
-        out = pd.DataFrame(rows, columns=names)
-        for column in names:
-            if "long" in schema.split(f"{column} ", 1)[1][:5]:
-                out[column] = out[column].astype("Int64")
-        return out
+    def run(session_id: str, rows: list[dict[str, Any]]) -> dict[str, Any]:
+        episodes_, selections_ = replay(session_id, [r | {"inserted_text": (r.get("put") or {}).get("text"), "insert_span": r.get("put")} for r in rows])
+        return {"session_id": session_id, "episodes": episodes_, "selections": selections_}
 
-    return used.groupBy("session_id").applyInPandas(run, schema)
+    return over_sessions(used, columns, run, REPLAYED)
 
 
 def episodes(events: DataFrame) -> DataFrame:
-    return _replayed(events, 0, EPISODE_SQL)
+    return replayed(events).select("session_id", F.inline("episodes"))
 
 
 def selections(events: DataFrame) -> DataFrame:
-    return _replayed(events, 1, SELECTION_SQL)
+    return replayed(events).select("session_id", F.inline("selections"))
 
 
 def fifo_match(events: DataFrame, push: Column, pop: Column) -> DataFrame:
@@ -118,9 +123,9 @@ def fifo_match(events: DataFrame, push: Column, pop: Column) -> DataFrame:
     floor = F.least(F.lit(0), F.coalesce(F.min(F.when(~F.col("push"), F.col("level"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     marked = marked.withColumn("miss", ~F.col("push") & (F.col("level") < floor)).where("not miss")
     marked = marked.withColumn("k", F.row_number().over(Window.partitionBy("session_id", "push").orderBy("event_num")))
-    pushes = marked.where("push").select("session_id", "k", F.col("event_num").alias("push_num"))
-    pops = marked.where("not push").select("session_id", "k", F.col("event_num").alias("pop_num"))
-    return pushes.join(pops, ["session_id", "k"]).drop("k")
+    num = lambda rule: F.max(F.when(rule, F.col("event_num")))
+    pairs = marked.groupBy("session_id", "k").agg(num(F.col("push")).alias("push_num"), num(~F.col("push")).alias("pop_num"))
+    return pairs.where("push_num is not null and pop_num is not null").drop("k")
 
 
 def orphan_reopens(events: DataFrame, reopen: str = "suggestion-reopen") -> DataFrame:

@@ -8,10 +8,10 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions.exprs import STATES, adoption, safe_ratio
 from . import lifecycle, provenance
+from .sessions import over_sessions
 
 LONGS = lambda names: [(n, pa.int64()) for n in names.split()]
 EPISODE = pa.struct([("request_id", pa.string()), *LONGS("request_event_num request_ts open_event_num selections reopens"), ("was_dismissed", pa.bool_())])
@@ -22,6 +22,7 @@ SELECTION = pa.struct(
 )
 REPLAYED = pa.schema(
     [("session_id", pa.string()), *LONGS("final_text_chars final_ai_chars final_human_chars final_system_chars human_inserted_chars human_chars_before_first_ai session_duration_ms anomalies")]
+    + [("anomaly_kinds", pa.list_(pa.string())), ("deleted_by_origin", pa.map_(pa.string(), pa.int64())), ("final_text", pa.string())]
     + [("episodes", pa.list_(EPISODE)), ("selections", pa.list_(SELECTION))]
 )
 
@@ -57,13 +58,17 @@ def replay_session(session_id: str, events: list[dict[str, Any]]) -> dict[str, A
         "human_chars_before_first_ai": sum(n for num, n in human if first is None or num < first),
         "session_duration_ms": max(stamps) - min(stamps) if len(stamps) > 1 else None,
         "anomalies": len(doc.anomalies),
+        "anomaly_kinds": doc.anomalies,
+        "deleted_by_origin": list(doc.deleted.items()),
+        "final_text": "".join(s[4] for s in doc.spans if not s[2]),
         "episodes": episodes,
         "selections": [s | doc.survivors(s["selection_id"]) for s in selections],
     }
 
 
 def replayed(events: DataFrame) -> DataFrame:
-    """A row per session: its episodes, its selections with what became of their text, and the final composition.
+    """A row per session: its episodes, its selections with what became of their text, the final composition and text,
+    characters deleted by origin (a selection's id, or human, system and the like) and the anomalies.
 
     events: session_id, event_num, timestamp_ms, event_name, source, ops_json and, if at hand, current_doc, candidates,
     hover_index, suggestion_index. One shuffle by session; deltas of other than text events are not sent.
@@ -71,17 +76,7 @@ def replayed(events: DataFrame) -> DataFrame:
     have = set(events.columns)
     further = [c for c in ("current_doc", "candidates", "hover_index", "suggestion_index") if c in have]
     ops = F.when(F.col("event_name").isin("text-insert", "text-delete"), F.col("ops_json")).alias("ops_json")
-    used = events.select(F.col("session_id").cast("string"), "event_num", "timestamp_ms", "event_name", "source", ops, *further)
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda e: (e["event_num"], e["timestamp_ms"]))
-        row = replay_session(key[0].as_py(), rows)
-        own = lambda kind, items: [{f.name: x.get(f.name) for f in kind} for x in items]
-        for name in ("episodes", "selections"):
-            row[name] = own(REPLAYED.field(name).type.value_type, row[name])
-        return pa.Table.from_pylist([row], REPLAYED)
-
-    return used.groupBy("session_id").applyInArrow(run, from_arrow_schema(REPLAYED))
+    return over_sessions(events, ["event_num", "timestamp_ms", "event_name", "source", ops, *further], replay_session, REPLAYED)
 
 
 def selection_metrics(sessions: DataFrame) -> DataFrame:

@@ -101,32 +101,3 @@ def replay_document(events: list[dict[str, Any]], selection_of_insert: dict[int,
         if e["event_name"] in ("text-insert", "text-delete") and isinstance(e.get("ops"), list):
             out.apply(e["ops"], e["source"], selection_of_insert.get(e["event_num"]))
     return out
-
-
-def interval_retention(inserted_at: int, size: int, deltas: list[list[dict]]) -> list[tuple[int, int]]:
-    """Intervals that survive later deltas under the historical rules: no clamping, embeds don't move the cursor.
-
-    An insertion at or before an interval shifts it, strictly inside it splits it, at its end leaves it.
-    """
-    held = [(inserted_at, inserted_at + size)]
-    for ops in deltas:
-        cursor = 0
-        for op in ops:
-            cursor += op.get("retain") or 0
-            piece = op.get("insert")
-            if isinstance(piece, str) and piece:
-                n, new = len(piece), []
-                for a, b in held:
-                    if cursor <= a:
-                        new.append((a + n, b + n))
-                    elif cursor < b:
-                        new += [(a, cursor), (cursor + n, b + n)]
-                    else:
-                        new.append((a, b))
-                held, cursor = new, cursor + n
-            gone = op.get("delete") or 0
-            if gone:
-                low, high = cursor, cursor + gone
-                moved = lambda x: x if x <= low else max(low, x - gone)  # noqa: B023, E731
-                held = [(moved(a), moved(b)) for a, b in held if moved(a) < moved(b)]
-    return held

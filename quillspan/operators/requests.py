@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.exprs import POST_MS, PRE_MS, RECONSULT_MS
+from ..functions.exprs import POST_MS, PRE_MS, RECONSULT_MS, adoption, strip
 
 def _order() -> WindowSpec:
     return Window.partitionBy("session_id").orderBy("event_num")
@@ -20,25 +20,29 @@ def _first(what: Column, rule: Column) -> Column:
     return F.min_by(F.when(rule, what), F.when(rule, F.col("event_num")))
 
 
-def first_in_window(trace: DataFrame) -> DataFrame:
-    """Per request: numbers, times and k of its first open, select and close."""
+def _first_aggregates() -> list[Column]:
     is_ = lambda name: F.col("event_name") == name
-    own = request_windows(trace).groupBy("session_id", "window_id")
     aggregates = [F.min("event_num").alias("request_num"), F.min_by("timestamp_ms", "event_num").alias("request_ts")]
     for short in ("open", "select", "close"):
         rule = is_(f"suggestion-{short}")
         aggregates += [F.min(F.when(rule, F.col("event_num"))).alias(f"{short}_num"), _first(F.col("timestamp_ms"), rule).alias(f"{short}_ts"), _first(F.col("k"), rule).alias(f"{short}_k")]
-    aggregates.append(_first(F.col("source"), is_("suggestion-close")).alias("close_source"))
-    return own.agg(*aggregates)
+    return [*aggregates, _first(F.col("source"), is_("suggestion-close")).alias("close_source")]
+
+
+def first_in_window(trace: DataFrame) -> DataFrame:
+    """Per request: numbers, times and k of its first open, select and close."""
+    return request_windows(trace).groupBy("session_id", "window_id").agg(*_first_aggregates())
 
 
 def with_insertion(trace: DataFrame) -> DataFrame:
-    """first_in_window with the first api insertion after the first select."""
-    firsts = first_in_window(trace)
-    inserts = request_windows(trace).where("event_name = 'text-insert' and source = 'api'").select("session_id", "window_id", F.col("event_num").alias("n"), F.col("k").alias("ik"), F.col("timestamp_ms").alias("its"))
-    after = firsts.where("select_num is not null").select("session_id", "window_id", "select_num").join(inserts, ["session_id", "window_id"]).where("n > select_num")
-    after = after.groupBy("session_id", "window_id").agg(F.min("n").alias("insert_num"), F.min_by("ik", "n").alias("insert_k"), F.min_by("its", "n").alias("insert_ts"))
-    return firsts.join(after, ["session_id", "window_id"], "left")
+    """first_in_window with the first api insertion after the first select: number, k and time; one shuffle."""
+    rows = request_windows(trace)
+    own = Window.partitionBy("session_id", "window_id").orderBy("event_num").rowsBetween(Window.unboundedPreceding, -1)
+    selected = F.max(F.when(F.col("event_name") == "suggestion-select", 1)).over(own)
+    put = (F.col("event_name") == "text-insert") & (F.col("source") == "api") & (selected == 1)
+    rows = rows.withColumn("put", F.coalesce(put, F.lit(False)))
+    num = F.min(F.when(F.col("put"), F.col("event_num"))).alias("insert_num")
+    return rows.groupBy("session_id", "window_id").agg(*_first_aggregates(), num, _first(F.col("k"), F.col("put")).alias("insert_k"), _first(F.col("timestamp_ms"), F.col("put")).alias("insert_ts"))
 
 
 def five_way_outcomes(trace: DataFrame) -> DataFrame:
@@ -56,8 +60,6 @@ def five_way_outcomes(trace: DataFrame) -> DataFrame:
 
 def selection_proxies(trace: DataFrame) -> DataFrame:
     """One row per select inside a window: inserted k, deleted k of later deletions, survivors, contiguity and outcome."""
-    from ..functions.exprs import adoption
-
     later = Window.partitionBy("session_id", "window_id").orderBy("event_num").rowsBetween(1, Window.unboundedFollowing)
     rows = request_windows(trace)
     gone = F.coalesce(F.sum(F.when(F.col("event_name") == "text-delete", F.col("k"))).over(later), F.lit(0))
@@ -68,15 +70,22 @@ def selection_proxies(trace: DataFrame) -> DataFrame:
 
 
 def session_indicators(trace: DataFrame) -> DataFrame:
-    """Per session: requests, user characters in the 30 s before requests, edits after answers, reconsultation within 60 s."""
+    """Per session: requests, user characters in the 30 s before requests, edits after answers, reconsultation within 60 s.
+
+    How many edits lie between two times is the difference of two running counts, so edits and
+    requests are never paired: the ends of the requests' spans are laid among the edits in order of time.
+    """
+    edit = (F.col("source") == "user") & F.col("event_name").isin("text-insert", "text-delete")
     before = Window.partitionBy("session_id").orderBy("timestamp_ms").rangeBetween(-PRE_MS, -1)
-    typed = F.when((F.col("source") == "user") & F.col("event_name").isin("text-insert", "text-delete"), F.col("k"))
-    pre = trace.withColumn("pre_chars", F.coalesce(F.sum(typed).over(before), F.lit(0))).where("event_name = 'suggestion-get'").groupBy("session_id").agg(F.median("pre_chars").alias("pre_chars_median"))
+    pre = trace.withColumn("pre_chars", F.coalesce(F.sum(F.when(edit, F.col("k"))).over(before), F.lit(0))).where("event_name = 'suggestion-get'").groupBy("session_id").agg(F.median("pre_chars").alias("pre_chars_median"))
     per = with_insertion(trace).withColumn("next_ts", F.lead("request_ts").over(Window.partitionBy("session_id").orderBy("window_id")))
     per = per.withColumn("anchor", F.coalesce("insert_ts", "open_ts")).withColumn("limit", F.least(F.col("anchor") + POST_MS, F.col("next_ts")))
-    edits = trace.where((F.col("source") == "user") & F.col("event_name").isin("text-insert", "text-delete")).select("session_id", F.col("timestamp_ms").alias("edit_ts"))
-    post = per.where("anchor is not null").join(edits, "session_id").where("edit_ts > anchor and edit_ts <= limit").groupBy("session_id").agg(F.count("*").alias("post_edits"))
     again = per.groupBy("session_id").agg(F.count("*").alias("requests"), F.count_if(F.col("next_ts") - F.col("request_ts") <= RECONSULT_MS).alias("reconsulted"), F.count("open_num").alias("opened"), F.count("insert_num").alias("inserted"))
+    # +1 for each edit up to the limit, -1 for each up to the anchor, of spans that are not empty
+    marks = per.where("limit > anchor").select("session_id", F.inline(F.array(F.struct(F.col("limit").alias("ts"), F.lit(1).alias("sign")), F.struct(F.col("anchor").alias("ts"), F.lit(-1).alias("sign")))))
+    edits = trace.where(edit).select("session_id", F.col("timestamp_ms").alias("ts"), F.lit(0).alias("sign"))
+    upto = F.count_if(F.col("sign") == 0).over(Window.partitionBy("session_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    post = edits.unionByName(marks).withColumn("seen", upto).where("sign <> 0").groupBy("session_id").agg(F.sum(F.col("sign") * F.col("seen")).alias("post_edits"))
     return again.join(pre, "session_id", "left").join(post, "session_id", "left").withColumn("post_edits", F.coalesce("post_edits", F.lit(0)))
 
 
@@ -87,9 +96,30 @@ def inserted_text(ops_json: str | Column = "ops_json") -> Column:
     return F.array_join(F.transform(F.filter(ops, kind), lambda o: F.try_variant_get(o, "$.insert", "string")), "")
 
 
-def stripped(text: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+def insertion(ops_json: str | Column = "ops_json") -> Column:
+    """struct<text, start, end> of a delta's string insertions, joined; null if there are none.
+
+    Retained characters and insertions move the place, deletions don't; end is start plus the
+    length of the text even where its pieces lie apart.
+    """
+    ops = F.coalesce(F.try_variant_get(F.try_parse_json(ops_json), "$", "array<variant>"), F.array().cast("array<variant>"))
+    kind = lambda o, name: F.schema_of_variant(F.try_variant_get(o, f"$.{name}", "variant"))
+    retain = lambda o: F.when(kind(o, "retain") == "BIGINT", F.greatest(F.try_variant_get(o, "$.retain", "bigint"), F.lit(0))).otherwise(F.lit(0))
+    piece = lambda o: F.when(kind(o, "insert") == "STRING", F.try_variant_get(o, "$.insert", "string"))
+    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("start"), F.lit("").alias("text"))
+
+    def step(acc: Column, op: Column) -> Column:
+        at = acc["at"] + F.coalesce(retain(op), F.lit(0))
+        return F.struct((at + F.coalesce(F.length(piece(op)), F.lit(0))).alias("at"), F.when(piece(op).isNotNull(), F.coalesce(acc["start"], at)).otherwise(acc["start"]).alias("start"), F.concat(acc["text"], F.coalesce(piece(op), F.lit(""))).alias("text"))
+
+    return F.aggregate(ops, none, step, lambda acc: F.when(acc["start"].isNotNull(), F.struct(acc["text"].alias("text"), acc["start"].alias("start"), (acc["start"] + F.length(acc["text"])).alias("end"))))
+
+
+def delta_lengths(ops_json: str | Column = "ops_json") -> Column:
+    """struct<inserted, deleted>: characters of string insertions, and characters deleted, of a delta."""
+    ops = F.coalesce(F.try_variant_get(F.try_parse_json(ops_json), "$", "array<variant>"), F.array().cast("array<variant>"))
+    gone = F.transform(ops, lambda o: F.greatest(F.coalesce(F.try_variant_get(o, "$.delete", "bigint"), F.lit(0)), F.lit(0)))
+    return F.struct(F.length(inserted_text(ops_json)).cast("bigint").alias("inserted"), F.aggregate(gone, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("deleted"))
 
 
 def request_outcomes(events: DataFrame) -> DataFrame:
@@ -102,7 +132,7 @@ def request_outcomes(events: DataFrame) -> DataFrame:
     """
     name, num = F.col("event_name"), F.col("event_num")
     used = events.where(name.isin("suggestion-get", "suggestion-open", "suggestion-select", "suggestion-close") | ((name == "text-insert") & (F.col("source") == "api")))
-    text = F.when(name == "text-insert", stripped(inserted_text()))
+    text = F.when(name == "text-insert", strip(inserted_text()))
     windows = request_windows(used.select(F.col("session_id").cast("string").alias("session_id"), "event_num", "event_name", "source", "candidates", "hover_index", text.alias("text")))
     own = Window.partitionBy("session_id", "window_id").orderBy("event_num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     chosen_at = F.min(F.when(name == "suggestion-select", num)).over(own)

@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CANDIDATES = "array<struct<index:bigint,original:string,trimmed:string,probability:double>>"
 
 
-def read_sessions(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
-    """Events of all matching files under path, one row each.
+def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """path, line and value of every line that is not blank; line ascends within a file but counts the lines of others too.
 
-    session_id is the file's stem. eventNum, eventName and eventTimestamp are required (a
-    missing one fails the job); other fields are null where blank or of another type. An
-    unknown source is 'unknown'. text_delta and cursor_range stay variants.
+    It is made of the place of the file's split and the row's place in the scan, so nothing is shuffled for it.
     """
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
     if not lines.inputFiles():
         raise FileNotFoundError(f"no {pattern} under {path}")
-    raw = lines.where(F.trim("value") != "").select(F.regexp_extract("_metadata.file_name", r"^(.*)\.[^.]*$", 1).alias("session_id"), F.parse_json("value").alias("v"))
+    # rows of a split have ascending ids; splits of a file ascend with their start
+    place = F.array(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return lines.select(F.col("_metadata.file_path").alias("path"), place.alias("line"), "value").where(F.regexp_replace("value", r"(?U)\s", "") != "")
+
+
+def bad_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """path, line (from 1, blank ones counted) and error of the lines that cannot be read: a quarantine list.
+
+    Only files that hold such lines are numbered.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    placed = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), "value")
+    parsed = F.try_parse_json("value")
+    has = lambda name, kind: F.try_variant_get(parsed, f"$.{name}", kind).isNotNull()
+    error = F.when(parsed.isNull(), "invalid JSON").when(~has("eventNum", "bigint"), "eventNum is missing").when(~has("eventName", "string"), "eventName is missing").when(~has("eventTimestamp", "bigint"), "eventTimestamp is missing")
+    placed = placed.withColumn("error", F.when(F.regexp_replace("value", r"(?U)\s", "") != "", error)).drop("value")
+    broken = placed.where("error is not null").select("path").distinct()
+    numbered = placed.join(broken, "path", "left_semi").withColumn("line", F.row_number().over(Window.partitionBy("path").orderBy("split", "row")))
+    return numbered.where("error is not null").select("path", "line", "error")
+
+
+def read_sessions(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """Events of all matching files under path, one row each; line ascends within a file (it orders equal event numbers and times).
+
+    Blank lines are skipped, a line that is no JSON fails the job with its file and text (`bad_lines` numbers
+    such lines). session_id is the file's stem. eventNum, eventName and eventTimestamp are required (a
+    missing one fails the job); other fields are null where blank or of another type. An
+    unknown source is 'unknown'. text_delta and cursor_range stay variants.
+    """
+    raw = read_lines(spark, path, pattern)
+    failed = F.raise_error(F.concat("path", F.lit(": invalid JSON: "), F.substring("value", 1, 80)))
+    raw = raw.select("line", F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("session_id"), F.coalesce(F.try_parse_json("value"), failed).alias("v"))
     get = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
     need = lambda name, kind: F.when(get(name, kind).isNull(), F.raise_error(F.lit(f"{name} is missing"))).otherwise(get(name, kind))
     source = F.lower(get("eventSource", "string"))
@@ -30,6 +59,7 @@ def read_sessions(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> D
     candidate = lambda c: F.struct(F.when(field(c, "index", "bigint").isNull(), F.raise_error(F.lit("index is missing"))).otherwise(field(c, "index", "bigint")).alias("index"), original(c).alias("original"), trimmed(c).alias("trimmed"), field(c, "probability", "double").alias("probability"))
     return raw.select(
         "session_id",
+        "line",
         need("eventNum", "bigint").cast("long").alias("event_num"),
         need("eventName", "string").alias("event_name"),
         need("eventTimestamp", "bigint").cast("long").alias("timestamp_ms"),

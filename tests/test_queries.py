@@ -15,7 +15,7 @@ def cells(rows):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for table in ("events", "labels"):
+    for table in ("events", "labels", "region"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     want = con.execute(ORACLES[name]).to_arrow_table().to_pylist()
     got = QUERIES[name](spark, DATA).toArrow().to_pylist()
@@ -25,7 +25,7 @@ def test_same_rows_as_sql(spark, name):
 
 def test_replay_runs(spark):
     assert QUERIES["lifecycle_episodes"](spark, DATA).count() > 0
-    assert QUERIES["feature_summary"](spark, DATA).count() == 5
+    assert QUERIES["feature_summary"](spark, DATA).count() == 15
 
 
 def test_metrics_of_traces(spark):
