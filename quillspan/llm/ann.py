@@ -179,7 +179,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         tiles = posts.groupBy("dims", "file").agg(F.count("*").alias("n")).join(asks.groupBy("dims", "file").agg(F.count("*").alias("q")), ["dims", "file"])  # files without queries drop out
         tiles = tiles.select("dims", "file", F.ceil(F.col("n") / TILE_VECTORS).cast("int").alias("tx"), F.ceil(F.col("q") / TILE_QUERIES).cast("int").alias("tq"))
         spread = F.abs(F.xxhash64(F.lit(5), "h1") % 1_000_003)
-        placed = lambda df: df.join(tiles, ["dims", "file"]).withColumn("h", spread)
+        placed = lambda df: df.join(F.broadcast(tiles), ["dims", "file"]).withColumn("h", spread)  # noqa: E731  # at most a row per pivot of each length
         at = lambda tiles_: (F.col("h") % F.col(tiles_)).cast("int")
         every = lambda tiles_: F.explode(F.sequence(F.lit(0), F.col(tiles_) - 1))
         posted_ = placed(posts).withColumn("x", at("tx")).withColumn("q", every("tq"))
