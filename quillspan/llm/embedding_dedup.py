@@ -25,7 +25,7 @@ from .common import components, pick, written
 
 BLOCK_DIMS = 8
 #: Points of a tile, and the most crowded cells that are broadcast.
-TILE_POINTS, BROADCAST_CELLS = 4096, 500_000
+TILE_POINTS, BROADCAST_CELLS = 2048, 500_000
 AROUND = [(0, 1), (1, -1), (1, 0), (1, 1)]
 #: Slack for rounding: candidates may be found in excess, never too few.
 SLACK = 1e-7
