@@ -51,6 +51,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table: doc_id, n_tokens, ids, ids_sha256 and decoded_sha256 of what they keep, as often as the mix takes it.
+
+    Each stage's result is written in the shared folder and read by the next. Documents without a
+    letter go at the first stage; an empty table gives an empty result; columns beside those of
+    documents are carried to the last stage. `quillspan.llm.common.discard` deletes what was written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
