@@ -1,0 +1,3 @@
+"""Trace analytics and training-data operators on Spark."""
+
+__version__ = "0.2.0"

@@ -144,6 +144,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "early_late_intervals": _selections(inference.early_late_intervals),
     "text_delta_signatures": _on(lambda t: audits.text_deltas(_with_deltas(t)).drop("session_id", "event_num")),
     "audit_lifecycle": _audit(audits.lifecycle),
+    "audit_provenance": _audit(audits.provenance),
+    "audit_lifecycle_totals": _audit(audits.lifecycle_totals),
+    "audit_features": _on(lambda t: audits.features(_features(t))),
+    "missing_shares": _on(lambda t: audits.missing_shares(_features(t), FEATURES)),
     "audit_selection_metrics": _audit(lambda _, r: audits.selection_metrics(metrics.selection_metrics(r))),
     "audit_session_metrics": _audit(lambda _, r: audits.session_metrics(metrics.session_metrics(r))),
     "pca_variance": _on(lambda t: multivariate.pca_tables(grouping.session_shares(t), PROFILE, k=3)["variance"]),
@@ -281,7 +285,7 @@ ORACLES: dict[str, str] = {
     "session_transition_metrics": _with("""SELECT b.*, coalesce(intra, 0) AS intra_request_transition_count, coalesce(crosses, 0) AS cross_request_transition_count, coalesce(moves, 0) AS all_transition_count, round(stays::DOUBLE / moves, 6) AS all_self_transition_rate,
 CASE WHEN crosses > 0 THEN round(cross_stays::DOUBLE / crosses, 6) END AS cross_request_self_transition_rate, round(e1.h, 6) AS state_entropy_normalized, round(e2.h, 6) AS cross_transition_entropy_normalized
 FROM b LEFT JOIN mv USING (session_id) LEFT JOIN e1 USING (session_id) LEFT JOIN e2 USING (session_id)""", WINDOW_SQL, SELECTION_SQL, _MOVES),
-    "text_delta_signatures": _with("SELECT event_name, source, CASE event_name WHEN 'text-insert' THEN 'insert' ELSE 'delete' END AS signature, count(*) AS events FROM t WHERE event_name IN ('text-insert', 'text-delete') GROUP BY ALL"),
+    "text_delta_signatures": _with("SELECT event_name, source, CASE event_name WHEN 'text-insert' THEN 'RI' ELSE 'RD' END AS signature, count(*) AS events FROM t WHERE event_name IN ('text-insert', 'text-delete') GROUP BY ALL"),
     "fold_totals": _with("SELECT count(DISTINCT fold) AS folds, count(*) AS rows, count(DISTINCT session_id) AS sessions, count(DISTINCT (session_id, fold)) - count(DISTINCT session_id) AS overlap, count(*) FILTER (label = 1) AS positive, 1 AS even FROM fo", *_PREDICT_PARTS, _DIRECT, _FOLDS),
     "stratified_folds": _with("SELECT session_id, event_num, fold FROM fo", *_PREDICT_PARTS, _DIRECT, _FOLDS),
     "grouped_split_audit": _with(_split("a AS test_direct, b AS test_modified, c AS test_non_adoption"), *_PREDICT_PARTS, _THREE, _FOLDS),
@@ -319,6 +323,8 @@ round(f1(d, n, best = 'd'), 6) AS f1_direct_adoption, round(f1(m, n, best = 'm')
     "cluster_silhouette": _with("""SELECT i AS session_id, g AS cluster, round(CASE WHEN n > 1 AND greatest(own, near) > 0 THEN (near - own) / greatest(own, near) ELSE 0 END, 6) AS silhouette FROM
 (SELECT i, g, max(n) FILTER (g = h) AS n, max(total / nullif(n - 1, 0)) FILTER (g = h) AS own, min(total / n) FILTER (g <> h) AS near FROM (SELECT x.session_id AS i, x.g, y.g AS h, count(*) AS n, sum(sqrt((x.ai_chars - y.ai_chars) ** 2 + (x.human_chars - y.human_chars) ** 2 + (x.ai_share - y.ai_share) ** 2)) AS total FROM c x, c y GROUP BY ALL) GROUP BY i, g)""",
         SHARE_SQL, """c AS (SELECT session_id, ai_chars::DOUBLE AS ai_chars, human_chars::DOUBLE AS human_chars, ai_share, CASE "group" WHEN 'Low' THEN 0 WHEN 'Moderate' THEN 1 ELSE 2 END AS g FROM m)"""),
+    "audit_features": _with("SELECT r.check, v = 0 AS ok, v AS violations FROM (" + " UNION ALL ".join(f"SELECT '{c} lies in [0, 1]' AS check, count(*) FILTER ({c} < 0 OR {c} > 1) AS v FROM fs" for c in audits.SHARES) + " UNION ALL SELECT 'session occurs once', count(*) - count(DISTINCT session_id) FROM fs) r", *_FEATURE_PARTS),
+    "missing_shares": _with("SELECT feature, count(*) FILTER (x IS NULL) AS missing, round(100.0::DOUBLE * count(*) FILTER (x IS NULL) / count(*), 6) AS missing_percent FROM lg GROUP BY feature", *_FEATURE_PARTS, f"lg AS ({_LONG})"),
     "scan_event_counts": _with("SELECT event_name, source, count(*) AS n, sum(k)::BIGINT AS chars FROM t GROUP BY ALL"),
     "request_windows": _with("SELECT session_id, event_num, window_id FROM w", WINDOW_SQL),
     "first_in_window": _with("SELECT * FROM f", WINDOW_SQL, FIRST_SQL),

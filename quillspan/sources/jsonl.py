@@ -37,15 +37,16 @@ def bad_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataF
     return numbered.where("error is not null").select("path", "line", "error")
 
 
-def read_sessions(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+def read_sessions(spark: SparkSession, path: str, pattern: str = "*.jsonl", without: DataFrame | None = None) -> DataFrame:
     """Events of all matching files under path, one row each; line ascends within a file (it orders equal event numbers and times).
 
     Blank lines are skipped, a line that is no JSON fails the job with its file and text (`bad_lines` numbers
-    such lines). session_id is the file's stem. eventNum, eventName and eventTimestamp are required (a
+    such lines; the files named in without, a table with their path, are left out). session_id is the file's stem. eventNum, eventName and eventTimestamp are required (a
     missing one fails the job); other fields are null where blank or of another type. An
     unknown source is 'unknown'. text_delta and cursor_range stay variants.
     """
     raw = read_lines(spark, path, pattern)
+    raw = raw if without is None else raw.join(without.select("path").distinct(), "path", "left_anti")
     failed = F.raise_error(F.concat("path", F.lit(": invalid JSON: "), F.substring("value", 1, 80)))
     raw = raw.select("line", F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("session_id"), F.coalesce(F.try_parse_json("value"), failed).alias("v"))
     get = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)

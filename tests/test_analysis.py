@@ -115,7 +115,7 @@ def test_audits(spark, events, sessions):  # noqa: F811
     assert all(r.ok for r in audits.session_metrics(metrics.session_metrics(sessions)).collect())
     bad = audits.selection_metrics(metrics.selection_metrics(sessions).withColumn("deleted_chars", F.lit(99)))
     assert {r.check for r in bad.where("not ok").collect()} == {"inserted = surviving + deleted"}
-    assert {r.signature: r.events for r in audits.top_signatures(events).collect()} == {"retain+insert": 3, "retain+delete": 1}
+    assert {r.signature: r.events for r in audits.top_signatures(events).collect()} == {"R,I": 3, "R,D": 1}
     held = audits.frozen(spark.createDataFrame([("a", 1.0)], "k string, v double"), "k", "v", {"a": 1.0, "b": 2.0})
     assert {r.check: r.ok for r in held.collect()} == {"a": True, "b": False}
 
