@@ -11,7 +11,8 @@ the automata. Chunks talk by messages, so no hot passage meets in one task:
    equal windows have equal names); a chunk sends each name once, with its least doc_id.
 2. reduce: names in two or more documents are confirmed. The chunk of the first
    document is told who asks for the passage; the others that the name recurs.
-3. passages: the first document's chunk sends the confirmed passages to each asking chunk.
+3. passages: the first document's chunk sends the confirmed passages to each asking chunk. What more
+   than HOT chunks ask for goes to one chunk of each group of chunks, which passes it on to its group.
 4. locate: a chunk compiles the passages it got, as blocks of 7 words at every seventh
    word (13 words always hold one whole block), streams its documents through the
    automaton and extends each hit, word by word, to the whole common run.
@@ -25,6 +26,7 @@ collision could only hide a window (about 1e-19 for each pair of windows).
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import defaultdict
 from functools import cached_property
 
@@ -40,8 +42,8 @@ from .common import NULL_ID, gram_hashes, pick, text_bytes, word_hashes
 WINDOW = 13
 GRAM = 6
 BLOCK = (WINDOW + 1) // 2
-#: Bytes of text in a chunk, and the fewest chunks.
-CHUNK_BYTES, LEAST_CHUNKS = 8 << 20, 64
+#: Bytes of text in a chunk, the fewest chunks, and askers from which a passage is passed on by groups.
+CHUNK_BYTES, LEAST_CHUNKS, HOT = 8 << 20, 64, 256
 
 MESSAGE = pa.schema([("to", pa.int32()), ("kind", pa.string()), ("src", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("texts", pa.list_(pa.binary()))])
 MESSAGE_SQL = "to int, kind string, src int, a binary, b binary, c binary, texts array<binary>"
@@ -118,8 +120,11 @@ def _key_messages(values: np.ndarray, docs: np.ndarray, ids: np.ndarray, chunk:
     return rows
 
 
-def _reduce(table: pa.Table, kind: str) -> pa.Table:
-    """Confirms the names that two or more documents have; passes rows of other kinds on."""
+def _reduce(table: pa.Table, kind: str, group: int, hot: int) -> pa.Table:
+    """Confirms the names that two or more documents have; passes rows of other kinds on.
+
+    Asks name the asking chunk, or for names that more than `hot` chunks ask for -1 - the number of its group.
+    """
     rows = table.to_pylist()
     out = [tuple(r[n] for n in MESSAGE.names) for r in rows if r["kind"] not in ("key", "key2")]
     rows = [r for r in rows if r["kind"] == kind]
@@ -139,7 +144,13 @@ def _reduce(table: pa.Table, kind: str) -> pa.Table:
     lead = np.zeros(len(names), bool)
     lead[at] = True
     asks = keep & (~lead | (more > 0))  # the first chunk asks itself only if it has more such documents
-    for what, rule, to, payload in (("seen", keep, chunk, None), ("ask", asks, origin, chunk)):
+    crowded = np.repeat(np.add.reduceat(asks.astype(np.int64), at) > hot, count)
+    asker = np.where(crowded, -1 - chunk // group, chunk).astype(np.int32)
+    # a group asks once
+    order = np.lexsort((asker, names))
+    again = np.zeros(len(names), bool)
+    again[order[1:]] = (names[order[1:]] == names[order[:-1]]) & (asker[order[1:]] == asker[order[:-1]]) & asks[order[1:]] & asks[order[:-1]]
+    for what, rule, to, payload in (("seen", keep, chunk, None), ("ask", asks & ~again, origin, asker)):
         picked = np.flatnonzero(rule)
         picked = picked[np.argsort(to[picked], kind="stable")]
         targets, starts = np.unique(to[picked], return_index=True)
@@ -169,8 +180,8 @@ def _first_holders(values: np.ndarray, docs: np.ndarray, ids: np.ndarray, wanted
     return np.sort(order[ids[docs[order]] == low])
 
 
-def _passages(key: int, docs: pa.Table, mail: pa.Table, full: bool) -> pa.Table:
-    """Sends each asking chunk the runs of words that it asks for."""
+def _passages(key: int, docs: pa.Table, mail: pa.Table, full: bool, group: int) -> pa.Table:
+    """Sends each asking chunk, or the first chunk of each asking group, the runs of words that it asks for."""
     out = [tuple(r[n] for n in MESSAGE.names) for r in mail.to_pylist() if r["kind"] in (("cov",) if full else ("seen", "ask"))]
     asked = np.concatenate([_u64(x) for x in _gather(mail, "ask")] or [np.empty(0, np.uint64)])
     if not len(asked) or not docs.num_rows:
@@ -199,10 +210,19 @@ def _passages(key: int, docs: pa.Table, mail: pa.Table, full: bool) -> pa.Table:
         ids, texts = sent[int(asker[s])]
         ids.append(int(chunk.ids[doc[which[s]]]))
         texts.append(b" ".join(joined[place[which[s]] : place[which[e]] + WINDOW]))
-    out += [(c, "pass", key, np.array(ids, np.int64).tobytes(), None, None, texts) for c, (ids, texts) in sent.items()]
+    out += [(c if c >= 0 else (-1 - c) * group, "pass" if c >= 0 else "relay", key, np.array(ids, np.int64).tobytes(), None, None, texts) for c, (ids, texts) in sent.items()]
     return _messages(out)
 
 
+def _relay(key: int, mail: pa.Table, group: int, n_chunks: int) -> pa.Table:
+    """Passes what is meant for a group on to each of its chunks; whoever did not ask finds the passage nowhere."""
+    meant = pc.equal(mail["kind"], "relay")
+    own = mail.filter(pc.invert(meant))
+    rows = mail.filter(meant).to_pylist()
+    copies = [(to, "pass", r["src"], r["a"], None, None, r["texts"]) for r in rows for to in range(key, min(key + group, n_chunks))]
+    return pa.concat_tables([own.select(MESSAGE.names).cast(MESSAGE), _messages(copies)])
+
+
 class Shard:
     """The Aho-Corasick automaton of a chunk's passages, over numbers of words.
 
@@ -327,7 +347,7 @@ def _finish(docs: pa.Table, mail: pa.Table, with_text: bool) -> pa.Table:
     return pa.Table.from_arrays([pa.array(columns[f.name], f.type) for f in RESULT], schema=RESULT)
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, with_text: bool = True, chunk_bytes: int = CHUNK_BYTES, least_chunks: int = LEAST_CHUNKS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, with_text: bool = True, chunk_bytes: int = CHUNK_BYTES, least_chunks: int = LEAST_CHUNKS, hot: int = HOT) -> DataFrame:
     """Removes from each document the words of every 13-word window that starts in a document with a smaller id.
 
     Words are `[^\\x20\\x09-\\x0D]+`, taken from whole texts; a null or empty text has none.
@@ -355,17 +375,22 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def both(function, schema: str, frame: DataFrame) -> DataFrame:  # noqa: ANN001
         return base.groupBy("to").cogroup(frame.groupBy("to")).applyInArrow(function, schema)
 
-    def passages(full: bool):  # noqa: ANN202
-        return lambda key, table, mail: _passages(key[0].as_py(), table, mail, full)
+    group = math.isqrt(n_chunks - 1) + 1
+
+    def passages(full: bool, mail: DataFrame) -> DataFrame:
+        sent = both(lambda key, table, mail: _passages(key[0].as_py(), table, mail, full, group), MESSAGE_SQL, mail).repartition(parts, "to")
+        if n_chunks <= hot:  # no name can have so many askers
+            return sent
+        return sent.groupBy("to").applyInArrow(lambda key, mail: _relay(key[0].as_py(), mail, group, n_chunks), MESSAGE_SQL).repartition(parts, "to")
 
     def reduce_(kind: str):  # noqa: ANN202
-        return lambda key, table: _reduce(table, kind)
+        return lambda key, table: _reduce(table, kind, group, hot)
 
     mail = base.groupBy("to").applyInArrow(keys, MESSAGE_SQL).repartition(parts, "to")
     mail = mail.groupBy("to").applyInArrow(reduce_("key"), MESSAGE_SQL).repartition(parts, "to")
-    mail = both(passages(False), MESSAGE_SQL, mail).repartition(parts, "to")
+    mail = passages(False, mail)
     mail = both(lambda key, table, mail: _locate(key[0].as_py(), table, mail, n_chunks), MESSAGE_SQL, mail).repartition(parts, "to")
     mail = mail.groupBy("to").applyInArrow(reduce_("key2"), MESSAGE_SQL).repartition(parts, "to")
-    mail = both(passages(True), MESSAGE_SQL, mail).repartition(parts, "to")
+    mail = passages(True, mail)
     out = both(lambda key, table, mail: _finish(table, mail, with_text), "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string", mail)
     return out.drop("row", *([] if with_text else ["kept_text"]))

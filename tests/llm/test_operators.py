@@ -48,7 +48,8 @@ def words_of(text):
     return (text or "").encode().split()
 
 
-def test_substring_dedup(docs, rows):
+@pytest.mark.parametrize("hot", [1, 256])
+def test_substring_dedup(docs, rows, hot):
     key = lambda i: 2**63 if i is None else i
     first = {}
     for i, t, _ in rows:
@@ -61,7 +62,7 @@ def test_substring_dedup(docs, rows):
         w = words_of(t)
         gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < key(i) for j in range(k, k + 13)}
         want.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
-    got = [tuple(r) for r in substring_dedup.dedup_substrings(docs, with_text=False, least_chunks=5).collect()]
+    got = [tuple(r) for r in substring_dedup.dedup_substrings(docs, with_text=False, least_chunks=7, hot=hot).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sum(x[2] for x in want) > 100
     assert substring_dedup.dedup_substrings(empty(docs)).count() == 0
