@@ -79,7 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL computes the same rows and columns."""
-    return {"op1_substring_dedup": SUBSTRING_SQL}
+    return {"op1_substring_dedup": SUBSTRING_SQL, "op4_embedding_dedup": EMBEDDING_SQL, "op9_minhash": NEAR_SQL}
 
 
 #: Window sequences by their words; the first document of each; the words that a later window covers.
@@ -100,3 +100,30 @@ WITH w AS (
 )
 SELECT doc_id, n AS n_words, n_removed, sha256(array_to_string(words, ' ')) AS kept_sha256 FROM kept
 """
+
+#: All pairs by cosine, then everything that links reach.
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0
+), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), r AS (SELECT DISTINCT a AS node, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node
+), c AS (SELECT node, min(root) AS root FROM r GROUP BY node
+), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id
+"""
+
+#: Multisets of five-word runs, all pairs that share one, then everything that links reach.
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), g AS (
+  SELECT doc_id, md5(array_to_string(words[p:p + least(5, len(words)) - 1], ' ')) AS k FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS p FROM w WHERE len(words) > 0)
+), c AS (SELECT doc_id, k, count(*) AS n FROM g GROUP BY ALL
+), t AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL
+), s AS (SELECT x, y FROM p JOIN t u ON u.doc_id = x JOIN t v ON v.doc_id = y WHERE m >= 0.8 * (u.n + v.n - m)
+), l AS (SELECT x AS a, y AS b FROM s UNION ALL SELECT y, x FROM s
+), r AS (SELECT DISTINCT a AS node, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node
+), f AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT doc_id, CASE WHEN len(words) > 0 THEN min(doc_id) OVER (PARTITION BY text, len(words) > 0) ELSE doc_id END AS class_id, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM w LEFT JOIN f ON f.node = doc_id
+"""
