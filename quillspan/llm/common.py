@@ -19,9 +19,9 @@ NULL_ID = np.iinfo(np.int64).max
 #: Cached words per Python worker; the cache is emptied beyond it.
 CACHE_WORDS = 300_000
 #: Bytes that a cache of words and their values may hold, and those of an entry besides its contents.
-CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
+CACHE_BYTES, ENTRY_BYTES = 40 << 20, 200
 #: Rows and bytes of text of an Arrow batch that are worked on together.
-SLICE_ROWS, SLICE_BYTES = 2_000, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 2_000, 4 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -30,7 +30,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 PLACES = BANDS * ROWS
 #: Documents and shingles of a block of a band.
-BLOCK_DOCS, BLOCK_SHINGLES = 1_000, 1_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 1_000, 400_000
 #: Shingles whose signatures are made together.
 BATCH_SHINGLES = 100_000
 

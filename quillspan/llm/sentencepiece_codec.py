@@ -84,10 +84,10 @@ class Codec:
 
     def _build_table(self, pairs: dict[int, tuple[int, int]]) -> None:
         """A hash table of the pairs with linear probing; the last slots are spare, so that probes need not wrap."""
-        self.shift = np.uint64(64 - max(10, (8 * len(pairs)).bit_length()))
+        self.shift = np.uint64(64 - max(10, (4 * len(pairs)).bit_length()))
         keys = np.array(list(pairs), np.int64)
         size = (1 << (64 - int(self.shift))) + 64
-        self.keys, self.ranks, self.merged = np.full(size, -1, np.int64), np.full(size, _NONE, np.int32), np.zeros(size, np.int64)
+        self.keys, self.ranks, self.merged = np.full(size, -1, np.int64), np.full(size, _NONE, np.int32), np.zeros(size, np.int32)
         for key, slot in zip(keys.tolist(), self._slot(keys).tolist(), strict=True):
             while self.keys[slot] != -1:
                 slot += 1
