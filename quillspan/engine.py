@@ -83,7 +83,8 @@ def analyze_features(session_features: DataFrame) -> dict[str, DataFrame]:
     names = list(features.PROFILE)
     matrix = stats.spearman_matrix(session_features, names)
     complete = multivariate.complete(session_features, list(features.PRIMARY)).select("session_id", *features.PRIMARY)
-    return {
+    further = {f"scaled_{name}": features.primary_matrix(session_features, columns) for name, columns in features.SENSITIVITY.items()}
+    return further | {
         "feature_diagnostics": features.diagnostics(session_features), "missingness_patterns": features.missingness(session_features, names), "feature_spearman": matrix.select("feature_a", "feature_b", "spearman_rho"),
         "feature_pairwise_n": matrix.select("feature_a", "feature_b", "n"), "strong_correlations": stats.strongest_correlations(matrix, names), "primary_cluster_raw": complete, "primary_cluster_scaled": features.primary_matrix(session_features),
         "scaler_parameters": features.scaler(session_features, list(features.PRIMARY)),

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import POST_MS, PRE_MS, RECONSULT_MS, response_use
+from .lifecycle import replay
 from .metrics import _mean, _median, inserted_text
 from .sessions import over_sessions
 
@@ -144,3 +145,52 @@ def target_behavior_metrics(sessions: DataFrame) -> DataFrame:
         transition_entropy(F.col("states")).alias("transition_entropy"),
         F.when((F.size("gaps") >= 2) & (F.col("sigma") + F.col("mu") > 0), (F.col("sigma") - F.col("mu")) / (F.col("sigma") + F.col("mu"))).alias("consultation_burstiness"),
     )
+
+
+EPISODE_ANSWERS = pa.schema([("session_id", pa.string()), ("post_edits", pa.list_(pa.int64())), ("latencies_s", pa.list_(pa.float64())), ("gaps_ms", pa.list_(pa.int64()))])
+
+
+def episode_answers(session_id: str, events: list[dict[str, Any]]) -> dict[str, Any]:
+    """By reconstructed episodes: edits after each open, up to the next request; seconds from an open to the first answer; gaps between requests."""
+    found, _ = replay(session_id, events)
+    at = {e["event_num"]: e["timestamp_ms"] for e in events}
+    stamps = sorted(e["timestamp_ms"] for e in events if e["source"] == "user" and e["event_name"] in EDITS)
+    answers = [e for e in events if e["source"] == "user" and e["event_name"] in ANSWERS]
+    in_time = sorted(found, key=lambda e: (e["request_ts"], e["request_event_num"]))
+    edits, waits = [], []
+    for e, after in zip(in_time, [*in_time[1:], None], strict=False):
+        if e["open_event_num"] is not None:
+            anchor = at[e["open_event_num"]]
+            until = anchor + POST_MS if after is None else min(anchor + POST_MS, after["request_ts"])
+            edits.append(max(0, bisect_right(stamps, until) - bisect_right(stamps, anchor)))
+    in_order = sorted(found, key=lambda e: e["request_event_num"])
+    for e, after in zip(in_order, [*in_order[1:], None], strict=False):
+        if e["open_event_num"] is not None:
+            opened = at[e["open_event_num"]]
+            end = float("inf") if after is None else after["request_event_num"]
+            answer = next((x["timestamp_ms"] for x in answers if e["open_event_num"] <= x["event_num"] < end and x["timestamp_ms"] >= opened), None)
+            if answer is not None:
+                waits.append((answer - opened) / 1000)
+    return {"session_id": session_id, "post_edits": edits, "latencies_s": waits, "gaps_ms": [b["request_ts"] - a["request_ts"] for a, b in zip(in_time, in_time[1:], strict=False)]}
+
+
+def episode_indicators(events: DataFrame, request_outcomes: DataFrame, session_metrics: DataFrame) -> DataFrame:
+    """The ten indicators over reconstructed episodes instead of request windows: a second variant beside `target_behavior_metrics`.
+
+    Five come from the session metrics as they are; what is undefined is null. States are the
+    outcomes of requests that showed something; edits are counted from the open, never from the insertion.
+    """
+    per = over_sessions(events, ["event_num", "timestamp_ms", "event_name", "source"], episode_answers, EPISODE_ANSWERS)
+    shown = request_outcomes.where(F.col("outcome") != "request_without_suggestion")
+    states = shown.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("request_event_num", "outcome"))), lambda x: x["outcome"]).alias("states"))
+    own = session_metrics.select(
+        "session_id", F.col("human_generation_before_ai_ratio").alias("human_generation_before_ai"), F.col("consultation_density_per_1000_authored_chars").alias("consultation_density"),
+        F.col("ai_share").alias("ai_contribution"), F.col("ai_retention_ratio").alias("ai_retention"), "consultation_burstiness",
+    )
+    s = own.join(per, "session_id").join(states, "session_id", "left").withColumn("states", F.coalesce("states", F.array().cast("array<string>")))
+    return s.select(
+        "session_id", "human_generation_before_ai", "consultation_density", "ai_contribution", "ai_retention",
+        F.when(F.size("states") > 0, F.size(F.filter("states", lambda x: x == "non_adoption")) / F.size("states")).alias("non_adoption"),
+        _median(F.array_sort("post_edits")).alias("post_ai_editing"), _mean(F.transform("gaps_ms", lambda g: F.when(g <= RECONSULT_MS, 1.0).otherwise(0.0))).alias("reconsultation"),
+        _median(F.array_sort("latencies_s")).alias("response_latency"), transition_entropy(F.col("states")).alias("transition_entropy"), "consultation_burstiness",
+    )

@@ -83,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "selection_metrics": _on(lambda t: metrics.selection_metrics(metrics.replayed(_with_deltas(t)))),
     "target_behavior_metrics": _on(lambda t: indicators.target_behavior_metrics(indicators.historical_sessions(_with_deltas(t)))),
     "session_metrics": _on(lambda t: metrics.session_metrics(metrics.replayed(_with_deltas(t)))),
+    "episode_indicators": _on(lambda t: (lambda d: indicators.episode_indicators(d, requests.five_way_outcomes(t).select(F.col("session_id").cast("string").alias("session_id"), F.col("window_id").alias("request_event_num"), "outcome"), metrics.session_metrics(metrics.replayed(d))))(_with_deltas(t))),
     "scan_event_counts": _on(lambda t: t.groupBy("event_name", "source").agg(F.count("*").alias("n"), F.sum("k").alias("chars"))),
     "request_windows": _on(lambda t: requests.request_windows(t).select("session_id", "event_num", "window_id")),
     "first_in_window": _on(lambda t: requests.first_in_window(t)),

@@ -50,4 +50,4 @@ def write_json(spark: SparkSession, content: dict[str, Any], path: str) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> dict[str, Any]:
-    return json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])

@@ -98,9 +98,14 @@ def test_metrics_against_pairs(spark):
 
 
 def test_exchange_keeps_values(known):
-    mixed = models.exchanged(known, "noise", 7)
-    assert sorted(r.noise for r in mixed.select("noise").collect()) == sorted(r.noise for r in known.select("noise").collect())
-    assert mixed.join(known, ["session_id", "event_num", "noise"]).count() < 20
+    mixed = models.exchanged(known, ["x", "noise"], 2).cache()
+    assert mixed.count() == 5 * known.count()
+    value = lambda df: sorted(r.noise for r in df.select("noise").collect())
+    for repeat in (1, 2):
+        own = mixed.where(f"feature = 'noise' and repeat = {repeat}")
+        assert value(own) == value(known)
+        assert own.join(known, ["session_id", "event_num", "noise"]).count() < 20
+        assert own.select("session_id", "event_num", "x").exceptAll(known.select("session_id", "event_num", "x")).count() == 0
 
 
 def test_request_outcomes(spark, events, tmp_path):  # noqa: F811

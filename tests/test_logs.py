@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspan import engine, figures, sinks
 from quillspan.__main__ import main
 from quillspan.functions import exprs
-from quillspan.operators import audits, features, lifecycle, metrics, release, requests
+from quillspan.operators import audits, features, indicators, lifecycle, metrics, release, requests
 from quillspan.sources import jsonl, tables
 
 from . import logs
@@ -83,6 +83,20 @@ def test_request_outcomes_cover_all(events):
     assert set(found) == {"accept_unchanged", "non_adoption", "presented_no_selection", "request_without_suggestion"}
 
 
+def test_episode_indicators(spark, tmp_path):
+    """By hand: two shown requests, one dismissed, edits and answers after each open."""
+    line = lambda n, t, name, source, **more: json.dumps({"eventNum": n, "eventName": name, "eventSource": source, "eventTimestamp": t, **more})
+    typed = {"textDelta": {"ops": [{"insert": "x"}]}}
+    events = [
+        line(0, 0, "suggestion-get", "user"), line(1, 1000, "suggestion-open", "api"), line(2, 3000, "suggestion-close", "user"), line(3, 5000, "text-insert", "user", **typed), line(4, 31_000, "text-insert", "user", **typed),
+        line(5, 31_001, "text-insert", "user", **typed), line(6, 50_000, "suggestion-get", "user"), line(7, 50_500, "suggestion-open", "api"), line(8, 51_500, "text-insert", "user", **typed), line(9, 200_000, "suggestion-get", "user"),
+    ]
+    (tmp_path / "a.jsonl").write_text("\n".join(events))
+    loaded = engine.load(spark, str(tmp_path))
+    row = indicators.episode_indicators(loaded, requests.request_outcomes(loaded), metrics.session_metrics(metrics.replayed(loaded))).first()
+    assert (row.non_adoption, row.post_ai_editing, row.reconsultation, row.response_latency, row.transition_entropy) == (0.5, 1.5, 0.5, 1.5, 0.0)
+
+
 def test_modified_outcome(spark, tmp_path):
     """What is inserted differs from the candidate shown at the place of the hover index; a close by the user without a selection."""
     line = lambda n, name, source, **more: json.dumps({"eventNum": n, "eventName": name, "eventSource": source, "eventTimestamp": n, **more})
@@ -245,7 +259,7 @@ def test_release_checks(spark, events):
 
 def test_prediction_tables(spark, events):
     selections = metrics.selection_metrics(metrics.replayed(events)).cache()
-    found = engine.analyze_prediction(selections, ("prior_baseline", "logistic"), folds=3, repeats=40, shuffles=2, iterations=3)
+    found = engine.analyze_prediction(selections, ("prior_baseline", "logistic"), folds=2, repeats=40, shuffles=2, iterations=2)
     assert len(found) == 12
     assert found["oof_predictions"].count() == 2 * selections.count()
     assert found["grouped_cv_audit"].agg(F.sum("session_overlap")).first()[0] == 0
