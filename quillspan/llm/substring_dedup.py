@@ -29,6 +29,7 @@ import hashlib
 import math
 from collections import defaultdict
 from functools import cached_property
+from itertools import product, repeat
 
 import ahocorasick
 import numpy as np
@@ -62,7 +63,7 @@ def _u64(blob: bytes) -> np.ndarray:
 class Chunk:
     """The documents of a chunk in order of doc_id: words, their hashes and the place of each document."""
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, table: pa.Table, *, hashed: bool = True) -> None:
         ids = table["doc_id"].combine_chunks().fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False)
         texts = pc.fill_null(table["text"].combine_chunks(), "")
         # by id, then text; the order of equal rows is all the same
@@ -70,7 +71,10 @@ class Chunk:
         self.ids = ids[order.to_numpy()].astype(np.int64)
         self.null = pc.is_null(table["doc_id"].combine_chunks()).take(order).to_pylist() if (ids == NULL_ID).any() else None
         self.texts = texts.take(order)
-        self._hashes, self.start = word_hashes(self.texts)
+        if hashed:
+            self._hashes, self.start = word_hashes(self.texts)
+        else:
+            self.start = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
 
     @cached_property
     def words(self) -> list[list[bytes]]:
@@ -202,14 +206,18 @@ def _passages(key: int, docs: pa.Table, mail: pa.Table, full: bool, group: int)
     asker = by[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
     order = np.lexsort((which, asker))
     which, asker = which[order], asker[order]
-    joined = [w for words in chunk.words for w in words]
+    split: dict[int, list[bytes]] = {}  # only documents that are asked for
     cut = np.flatnonzero(np.concatenate([[True], (np.diff(which) != 1) | (np.diff(asker) != 0) | (np.diff(doc[which]) != 0)])) if len(which) else np.empty(0, np.int64)
     ends = np.concatenate([cut[1:], [len(which)]]) - 1 if len(which) else cut
     sent: dict[int, tuple[list[int], list[bytes]]] = defaultdict(lambda: ([], []))
     for s, e in zip(cut.tolist(), ends.tolist(), strict=True):
+        d = int(doc[which[s]])
+        if d not in split:
+            split[d] = chunk.texts[d].as_py().encode().split()
+        at = int(chunk.start[d])
         ids, texts = sent[int(asker[s])]
-        ids.append(int(chunk.ids[doc[which[s]]]))
-        texts.append(b" ".join(joined[place[which[s]] : place[which[e]] + WINDOW]))
+        ids.append(int(chunk.ids[d]))
+        texts.append(b" ".join(split[d][int(place[which[s]]) - at : int(place[which[e]]) - at + WINDOW]))
     out += [(c if c >= 0 else (-1 - c) * group, "pass" if c >= 0 else "relay", key, np.array(ids, np.int64).tobytes(), None, None, texts) for c, (ids, texts) in sent.items()]
     return _messages(out)
 
@@ -246,13 +254,12 @@ class Shard:
         while 64**digits <= len(words):
             digits += 1
 
-        def spelt(number: int) -> str:
-            return "".join(chr(0x100 + 64 * d + (number >> 6 * d) % 64) for d in range(digits))
-
-        self.unknown, self.digits = spelt(0), digits
-        self.code = {w: spelt(k) for k, w in enumerate(sorted(words), 1)}
+        # every number in turn, the last place running fastest
+        numbers = map("".join, product(*[[chr(0x100 + 64 * d + k) for k in range(64)] for d in range(digits)]))
+        self.unknown, self.digits = next(numbers), digits
+        self.code = dict(zip(sorted(words), numbers, strict=False))
         for text, origin in sorted(first.items(), key=lambda x: x[1]):
-            own = [self.code[w] for w in text.split(b" ")]
+            own = list(map(self.code.__getitem__, text.split(b" ")))
             around: set[tuple] = set()
             for at in range(0, len(own) - BLOCK + 1, BLOCK):
                 # a passage that repeats itself needs each block once for each neighbourhood
@@ -276,8 +283,7 @@ class Shard:
         located = bytearray(max(0, n - WINDOW + 1))
         if not located or not self.found:
             return np.frombuffer(located, np.uint8).astype(bool)
-        get, unknown = self.code.get, self.unknown
-        spelt = [get(w, unknown) for w in words]
+        spelt = list(map(self.code.get, words, repeat(self.unknown)))
         need = WINDOW - BLOCK
         for end, block in self.automaton.iter("".join(spelt)):
             at = (end + 1) // self.digits - BLOCK
@@ -321,7 +327,7 @@ def _locate(key: int, docs: pa.Table, mail: pa.Table, n_chunks: int) -> pa.Table
 
 
 def _finish(docs: pa.Table, mail: pa.Table, with_text: bool) -> pa.Table:
-    chunk = Chunk(docs)
+    chunk = Chunk(docs, hashed=False)
     place, _ = chunk.windows()
     located = np.zeros(len(place), bool)
     for blob in _gather(mail, "cov"):
