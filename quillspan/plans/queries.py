@@ -271,7 +271,7 @@ _THREE = "ds AS (SELECT *, outcome AS label FROM pf)"
 
 
 def _split(classes: str) -> str:
-    return f"SELECT fold, sum(test_rows) OVER () - test_rows AS train_rows, test_rows, sum(test_sessions) OVER () - test_sessions AS train_sessions, test_sessions, 0::BIGINT AS session_overlap, {classes} FROM (SELECT fold, count(*) AS test_rows, count(DISTINCT session_id) AS test_sessions, count(*) FILTER (label::VARCHAR IN ('0', 'direct_adoption')) AS a, count(*) FILTER (label::VARCHAR IN ('1', 'modified_adoption')) AS b, count(*) FILTER (label::VARCHAR = 'non_adoption') AS c FROM fo GROUP BY fold)"
+    return f"SELECT fold, (sum(test_rows) OVER () - test_rows)::BIGINT AS train_rows, test_rows, (sum(test_sessions) OVER () - test_sessions)::BIGINT AS train_sessions, test_sessions, 0::BIGINT AS session_overlap, {classes} FROM (SELECT fold, count(*) AS test_rows, count(DISTINCT session_id) AS test_sessions, count(*) FILTER (label::VARCHAR IN ('0', 'direct_adoption')) AS a, count(*) FILTER (label::VARCHAR IN ('1', 'modified_adoption')) AS b, count(*) FILTER (label::VARCHAR = 'non_adoption') AS c FROM fo GROUP BY fold)"
 
 
 _SAME = "from_state = to_state"
