@@ -24,6 +24,8 @@ from .common import give_back, pick, slices
 
 #: The most documents a language is learned from, the most for all languages together, and the characters taken of each.
 DOCS_PER_LANGUAGE, DOCS, EXCERPT = 400, 40_000, 4_000
+#: Languages up to which their shares of the sample, a short row each, are broadcast.
+BROADCAST_LANGUAGES = 100_000
 #: Bytes that a window labels, and those on either side that it reads besides.
 WINDOW, CONTEXT = 512, 24
 #: Windows that are read together, and the most label values held for them.
@@ -229,6 +231,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     spark = docs.sparkSession
     want = max(8, min(per_language, most_docs // len(counts)))
     shares = spark.createDataFrame([(k, min(1.0, want / n)) for k, n in counts.items()], "lang string, share double")
+    shares = F.broadcast(shares) if len(counts) <= BROADCAST_LANGUAGES else shares
     chance = (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)).cast("double")
     h = F.xxhash64(F.lit(8), "doc_id")
     place = F.pmod(h, F.greatest(F.length("text") - excerpt, F.lit(0)) + 1).cast("int") + 1
