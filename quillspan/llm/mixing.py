@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import pick, written
 
 #: Documents in a group that is ranked by itself.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 10_000
 WEIGHTS = (3, 1, 2)
 
 
