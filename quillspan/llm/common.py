@@ -90,22 +90,28 @@ def use_cache(owner: str, clear: Callable[[], None]) -> None:
     _HELD[:] = [owner, clear]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of some texts in order, and where each text's start and end.
-
-    Equal words are hashed once; nothing is kept.
-    """
+def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words `[^\\x20\\x09-\\x0D]+` of some texts (null: none), the number of each word in order, and where each text's start and end."""
     parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
     coded = parts.flatten().dictionary_encode()
     words = coded.dictionary.cast(pa.binary()).to_pylist()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     codes = coded.indices.to_numpy()
     bounds = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     if b"" in words:  # beside white space at an end
         real = codes != words.index(b"")
         bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
         codes = codes[real]
-    return hashes[codes], bounds
+    return words, codes, bounds
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words of some texts in order, and where each text's start and end. Equal words are hashed once; nothing is kept."""
+    words, codes, bounds = coded_words(texts)
+    return hashes_of(words)[codes], bounds
 
 
 class Lexicon:

@@ -29,7 +29,7 @@ import hashlib
 import math
 from collections import defaultdict
 from functools import cached_property
-from itertools import product, repeat
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, gram_hashes, pick, text_bytes, word_hashes
+from .common import NULL_ID, coded_words, gram_hashes, hashes_of, pick, text_bytes
 
 WINDOW = 13
 GRAM = 6
@@ -63,7 +63,8 @@ def _u64(blob: bytes) -> np.ndarray:
 class Chunk:
     """The documents of a chunk in order of doc_id: words, their hashes and the place of each document."""
 
-    def __init__(self, table: pa.Table, *, hashed: bool = True) -> None:
+    def __init__(self, table: pa.Table, *, hashed: bool = True, read: bool = True) -> None:
+        """hashed: with the numbers of all words; read: with the places of words at all."""
         ids = table["doc_id"].combine_chunks().fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False)
         texts = pc.fill_null(table["text"].combine_chunks(), "")
         # by id, then text; the order of equal rows is all the same
@@ -71,8 +72,10 @@ class Chunk:
         self.ids = ids[order.to_numpy()].astype(np.int64)
         self.null = pc.is_null(table["doc_id"].combine_chunks()).take(order).to_pylist() if (ids == NULL_ID).any() else None
         self.texts = texts.take(order)
+        if not read:
+            return
         if hashed:
-            self._hashes, self.start = word_hashes(self.texts)
+            self.distinct, self.codes, self.start = coded_words(self.texts)
         else:
             self.start = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
 
@@ -81,7 +84,7 @@ class Chunk:
         return [t.split() for t in text_bytes(self.texts)]
 
     def hashes(self) -> np.ndarray:
-        return self._hashes
+        return hashes_of(self.distinct)[self.codes]
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Place of every window in the joined words, and its document's place in the chunk."""
@@ -193,11 +196,14 @@ def _passages(key: int, docs: pa.Table, mail: pa.Table, full: bool, group: int)
     by = np.concatenate([np.frombuffer(x, np.int32) for x in _gather(mail, "ask", "b")])
     order = np.lexsort((by, asked))
     asked, by = asked[order], by[order]
-    chunk = Chunk(docs)
-    hashes = chunk.hashes()
-    names = gram_hashes(hashes, WINDOW) if full else chunk.names(hashes)
-    place, doc = chunk.windows()
-    values = names[place]
+    if full:
+        # the first document of a window is never explained by an earlier one: its windows are among the open ones
+        chunk = Chunk(docs, read=False)
+        values, doc, at = (np.frombuffer(b"".join(_gather(mail, "open", c)), t) for c, t in (("a", np.uint64), ("b", np.int64), ("c", np.int64)))
+    else:
+        chunk = Chunk(docs)
+        place, doc = chunk.windows()
+        values, at = chunk.names(chunk.hashes())[place], place - chunk.start[doc]
     held = _first_holders(values, doc, chunk.ids, np.unique(asked))
     lo, hi = np.searchsorted(asked, values[held], "left"), np.searchsorted(asked, values[held], "right")
     count = hi - lo
@@ -207,17 +213,17 @@ def _passages(key: int, docs: pa.Table, mail: pa.Table, full: bool, group: int)
     order = np.lexsort((which, asker))
     which, asker = which[order], asker[order]
     split: dict[int, list[bytes]] = {}  # only documents that are asked for
-    cut = np.flatnonzero(np.concatenate([[True], (np.diff(which) != 1) | (np.diff(asker) != 0) | (np.diff(doc[which]) != 0)])) if len(which) else np.empty(0, np.int64)
+    apart = (np.diff(at[which]) != 1) | (np.diff(asker) != 0) | (np.diff(doc[which]) != 0)
+    cut = np.flatnonzero(np.concatenate([[True], apart])) if len(which) else np.empty(0, np.int64)
     ends = np.concatenate([cut[1:], [len(which)]]) - 1 if len(which) else cut
     sent: dict[int, tuple[list[int], list[bytes]]] = defaultdict(lambda: ([], []))
     for s, e in zip(cut.tolist(), ends.tolist(), strict=True):
         d = int(doc[which[s]])
         if d not in split:
             split[d] = chunk.texts[d].as_py().encode().split()
-        at = int(chunk.start[d])
         ids, texts = sent[int(asker[s])]
         ids.append(int(chunk.ids[d]))
-        texts.append(b" ".join(split[d][int(place[which[s]]) - at : int(place[which[e]]) - at + WINDOW]))
+        texts.append(b" ".join(split[d][int(at[which[s]]) : int(at[which[e]]) + WINDOW]))
     out += [(c if c >= 0 else (-1 - c) * group, "pass" if c >= 0 else "relay", key, np.array(ids, np.int64).tobytes(), None, None, texts) for c, (ids, texts) in sent.items()]
     return _messages(out)
 
@@ -231,18 +237,21 @@ def _relay(key: int, mail: pa.Table, group: int, n_chunks: int) -> pa.Table:
     return pa.concat_tables([own.select(MESSAGE.names).cast(MESSAGE), _messages(copies)])
 
 
+#: Words compared at once where a match is extended.
+STRIDE = 32
+
+
 class Shard:
     """The Aho-Corasick automaton of a chunk's passages, over numbers of words.
 
     A node of the automaton looks through its children in turn, so a word is spelt as digits
     of its number in base 64, every digit's place with letters of its own: no node has more
-    than 64 children, and a match can only start at a word.
+    than 64 children, and a match can only start at a word. Words of no passage are number 0.
     """
 
     def __init__(self, mail: pa.Table) -> None:
-        self.code: dict[bytes, str] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        self.found: list[list[tuple[int, list[str], int]]] = []
+        self.found: list[list[tuple[int, str, int]]] = []
         blocks: dict[str, int] = {}
         first: dict[bytes, int] = {}
         for kind, ids, texts in zip(mail["kind"].to_pylist(), mail["a"].to_pylist(), mail["texts"].to_pylist(), strict=True):
@@ -250,25 +259,21 @@ class Shard:
                 for origin, text in zip(np.frombuffer(ids, np.int64).tolist(), texts, strict=True):
                     first[text] = min(origin, first.get(text, origin))
         words = {w for text in first for w in text.split(b" ")}
-        digits = 1
-        while 64**digits <= len(words):
-            digits += 1
-
-        # every number in turn, the last place running fastest
-        numbers = map("".join, product(*[[chr(0x100 + 64 * d + k) for k in range(64)] for d in range(digits)]))
-        self.unknown, self.digits = next(numbers), digits
-        self.code = dict(zip(sorted(words), numbers, strict=False))
+        self.code = {w: k for k, w in enumerate(sorted(words), 1)}
+        self.digits = size = 1
+        while 64**self.digits <= len(words):
+            self.digits = size = size + 1
         for text, origin in sorted(first.items(), key=lambda x: x[1]):
-            own = list(map(self.code.__getitem__, text.split(b" ")))
-            around: set[tuple] = set()
-            for at in range(0, len(own) - BLOCK + 1, BLOCK):
+            own = self.spell(text.split(b" "))
+            around: set[str] = set()
+            for at in range(0, len(own) // size - BLOCK + 1, BLOCK):
                 # a passage that repeats itself needs each block once for each neighbourhood
-                near = tuple(own[max(0, at - WINDOW) : at + BLOCK + WINDOW])
-                if len(near) == BLOCK + 2 * WINDOW:
+                near = own[max(0, at - WINDOW) * size : (at + BLOCK + WINDOW) * size]
+                if len(near) == (BLOCK + 2 * WINDOW) * size:
                     if near in around:
                         continue
                     around.add(near)
-                block = "".join(own[at : at + BLOCK])
+                block = own[at * size : (at + BLOCK) * size]
                 if block not in blocks:
                     blocks[block] = len(self.found)
                     self.automaton.add_word(block, len(self.found))
@@ -277,29 +282,32 @@ class Shard:
         if self.found:
             self.automaton.make_automaton()
 
-    def locate(self, doc_id: int, words: list[bytes]) -> np.ndarray:
-        """Which windows of the document also start in a passage of a document with a smaller id."""
-        n = len(words)
+    def letters(self, words: list[bytes]) -> np.ndarray:
+        """The code points that spell each word (words x digits)."""
+        number = np.fromiter(map(self.code.get, words, repeat(0)), np.int64, len(words))
+        return np.stack([0x100 + 64 * d + (number >> (6 * d)) % 64 for d in reversed(range(self.digits))], axis=1).astype("<u4")
+
+    def spell(self, words: list[bytes]) -> str:
+        return self.letters(words).tobytes().decode("utf-32-le")
+
+    def locate(self, doc_id: int, spelt: str) -> np.ndarray:
+        """Which windows of a document, its words spelt, also start in a passage of a document with a smaller id."""
+        size = self.digits
+        n = len(spelt) // size
         located = bytearray(max(0, n - WINDOW + 1))
         if not located or not self.found:
             return np.frombuffer(located, np.uint8).astype(bool)
-        spelt = list(map(self.code.get, words, repeat(self.unknown)))
         need = WINDOW - BLOCK
-        for end, block in self.automaton.iter("".join(spelt)):
-            at = (end + 1) // self.digits - BLOCK
+        for end, block in self.automaton.iter(spelt):
+            at = (end + 1) // size - BLOCK
             first, past = max(0, at - need), min(at + 1, len(located))
             if located.find(0, first, past) < 0:
                 continue
             for origin, own, offset in self.found[block]:
                 if origin >= doc_id:  # they ascend
                     break
-                low, high = at, at + BLOCK
-                start, stop = max(0, at - offset), min(n, at + len(own) - offset)
-                shift = offset - at
-                while low > start and spelt[low - 1] == own[low - 1 + shift]:
-                    low -= 1
-                while high < stop and spelt[high] == own[high + shift]:
-                    high += 1
+                low = at - _common(spelt, at * size, own, offset * size, -size)
+                high = at + BLOCK + _common(spelt, (at + BLOCK) * size, own, (offset + BLOCK) * size, size)
                 if high - low >= WINDOW:
                     located[low : high - WINDOW + 1] = b"\1" * (high - low - WINDOW + 1)
                     if located.find(0, first, past) < 0:
@@ -307,6 +315,25 @@ class Shard:
         return np.frombuffer(located, np.uint8).astype(bool)
 
 
+def _common(a: str, i: int, b: str, j: int, size: int) -> int:
+    """How many words of `size` letters two spelt texts share from places i and j on; to the left for a negative size."""
+    if size < 0:
+        limit, step = min(i, j), -size * STRIDE
+        k = 0
+        while k + step <= limit and a[i - k - step : i - k] == b[j - k - step : j - k]:
+            k += step
+        while k - size <= limit and a[i - k + size : i - k] == b[j - k + size : j - k]:
+            k -= size
+        return k // -size
+    limit, step = min(len(a) - i, len(b) - j), size * STRIDE
+    k = 0
+    while k + step <= limit and a[i + k : i + k + step] == b[j + k : j + k + step]:
+        k += step
+    while k + size <= limit and a[i + k : i + k + size] == b[j + k : j + k + size]:
+        k += size
+    return k // size
+
+
 def _locate(key: int, docs: pa.Table, mail: pa.Table, n_chunks: int) -> pa.Table:
     """Locates the passages; the windows whose name recurs but that no passage explains are named anew, by all their words."""
     if not docs.num_rows or not mail.num_rows:
@@ -315,14 +342,19 @@ def _locate(key: int, docs: pa.Table, mail: pa.Table, n_chunks: int) -> pa.Table
     seen = np.unique(np.concatenate([_u64(x) for x in _gather(mail, "seen")] or [np.empty(0, np.uint64)]))
     asked = np.unique(np.concatenate([_u64(x) for x in _gather(mail, "ask")] or [np.empty(0, np.uint64)]))
     place, doc = chunk.windows()
-    located = np.concatenate([shard.locate(int(i), w) for i, w in zip(chunk.ids, chunk.words, strict=True)] or [np.zeros(0, bool)])
+    letters, start = shard.letters(chunk.distinct), chunk.start.tolist()
+    spelt = (letters[chunk.codes[a:b]].tobytes().decode("utf-32-le") for a, b in zip(start, start[1:], strict=False))
+    located = np.concatenate([shard.locate(int(i), text) for i, text in zip(chunk.ids, spelt, strict=True)] or [np.zeros(0, bool)])
     hashes = chunk.hashes()
     values = chunk.names(hashes)[place]
     first = np.zeros(len(values), bool)
     first[_first_holders(values, doc, chunk.ids, asked)] = True
     open_ = np.flatnonzero(_member(values, seen) & ~located & ~first)
+    whole = gram_hashes(hashes, WINDOW)[place[open_]]
     out = [(key, "cov", key, np.packbits(located).tobytes(), None, None, None)]
-    out += _key_messages(gram_hashes(hashes, WINDOW)[place[open_]], doc[open_], chunk.ids, key, n_chunks, "key2")
+    # a note to itself: where the open windows are (document, word), so that the text need not be read anew
+    out.append((key, "open", key, whole.tobytes(), doc[open_].astype(np.int64).tobytes(), (place[open_] - chunk.start[doc[open_]]).astype(np.int64).tobytes(), None))
+    out += _key_messages(whole, doc[open_], chunk.ids, key, n_chunks, "key2")
     return _messages(out)
 
 
@@ -334,7 +366,7 @@ def _finish(docs: pa.Table, mail: pa.Table, with_text: bool) -> pa.Table:
         located |= np.unpackbits(np.frombuffer(blob, np.uint8), count=len(place)).astype(bool)
     if "pass" in set(mail["kind"].to_pylist()):
         shard = Shard(mail)
-        located |= np.concatenate([shard.locate(int(i), w) for i, w in zip(chunk.ids, chunk.words, strict=True)])
+        located |= np.concatenate([shard.locate(int(i), shard.spell(w)) for i, w in zip(chunk.ids, chunk.words, strict=True)])
     total = int(chunk.start[-1])
     edge = np.zeros(total + 1, np.int32)
     np.add.at(edge, place[located], 1)

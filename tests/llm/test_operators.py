@@ -68,6 +68,22 @@ def test_substring_dedup(docs, rows, hot):
     assert substring_dedup.dedup_substrings(empty(docs)).count() == 0
 
 
+def test_common_words():
+    rng = random.Random(3)
+    for _ in range(3000):
+        size = rng.randrange(1, 4)
+        a, b = (["".join(rng.choice("xy") * size for _ in range(1)) for _ in range(rng.randrange(90))] for _ in range(2))
+        if rng.random() < 0.7:
+            b = a[: rng.randrange(len(a) + 1)] + b
+        i, j = rng.randrange(len(a) + 1), rng.randrange(len(b) + 1)
+        if rng.random() < 0.7:
+            j = min(i, len(b))
+        right = next((k for k in range(99) if i + k >= len(a) or j + k >= len(b) or a[i + k] != b[j + k]), 0)
+        left = next((k for k in range(99) if i - k <= 0 or j - k <= 0 or a[i - k - 1] != b[j - k - 1]), 0)
+        assert substring_dedup._common("".join(a), i * size, "".join(b), j * size, size) == right
+        assert substring_dedup._common("".join(a), i * size, "".join(b), j * size, -size) == left
+
+
 def test_sentencepiece(docs, rows, monkeypatch):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = sentencepiece_codec.encode_documents(docs, PIECES, outputs=("ids", "decoded", "ids_sha256"))
