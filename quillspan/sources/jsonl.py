@@ -18,7 +18,7 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> Data
         raise FileNotFoundError(f"no {pattern} under {path}")
     # rows of a split have ascending ids; splits of a file ascend with their start
     place = F.array(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    return lines.select(F.col("_metadata.file_path").alias("path"), place.alias("line"), "value").where(F.regexp_replace("value", r"(?U)\s", "") != "")
+    return lines.select(F.col("_metadata.file_path").alias("path"), place.alias("line"), "value").where(F.col("value").rlike(r"(?U)\S"))
 
 
 def bad_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
@@ -31,7 +31,7 @@ def bad_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataF
     parsed = F.try_parse_json("value")
     has = lambda name, kind: F.try_variant_get(parsed, f"$.{name}", kind).isNotNull()
     error = F.when(parsed.isNull(), "invalid JSON").when(~has("eventNum", "bigint"), "eventNum is missing").when(~has("eventName", "string"), "eventName is missing").when(~has("eventTimestamp", "bigint"), "eventTimestamp is missing")
-    placed = placed.withColumn("error", F.when(F.regexp_replace("value", r"(?U)\s", "") != "", error)).drop("value")
+    placed = placed.withColumn("error", F.when(F.col("value").rlike(r"(?U)\S"), error)).drop("value")
     broken = placed.where("error is not null").select("path").distinct()
     numbered = placed.join(broken, "path", "left_semi").withColumn("line", F.row_number().over(Window.partitionBy("path").orderBy("split", "row")))
     return numbered.where("error is not null").select("path", "line", "error")
