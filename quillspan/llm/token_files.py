@@ -45,7 +45,7 @@ FILE_BYTES = 32 << 20
 FILES_TOGETHER = 1_000
 LEVEL = 1
 #: Bytes of remembered pieces in a Python worker: most of the time goes into pieces that were forgotten.
-MEMORY = 112 << 20
+MEMORY = 72 << 20
 TABLE = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u8"), ("n", "<u8")])
 SEEK = np.dtype([("offset", "<u8"), ("size", "<u8"), ("n", "<u8"), ("crc", "<u4")])
 FOOTER = struct.Struct("<QQQI8s")
@@ -56,10 +56,15 @@ class Encoder:
     """Encodes as the tokenizers library does (add_special_tokens=False), remembering the ids of space-delimited pieces.
 
     The byte-level pre-tokenizer always cuts before a space that stands between two
-    characters that are no white space, so such pieces encode by themselves. Texts with other
-    spaces, or with the string of an added token, go to the library whole.
+    characters that are no white space, between a Latin letter or digit and a stop that ends a
+    word, and on both sides of a line end between two such words, so these pieces encode by
+    themselves. Texts with other spaces, or with the string of an added token, go to the library whole.
     """
 
+    #: Stands before pieces that have no space before them; texts that hold it go to the library whole.
+    JOINED = "\uffff"
+    WORD = "([A-Za-z0-9À-ÖØ-öø-ɏ])([.,])"
+
     #: White space as the tokenizer and Python know it.
     BLANK = "[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
@@ -68,7 +73,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.odd = "|".join([f"{self.BLANK} | {self.BLANK}|^ | $", *(_RE2.sub(r"\\\g<0>", t.content) for t in added)])
+        self.odd = "|".join([f"{self.BLANK} | {self.BLANK}|^ | $|{self.JOINED}", *(_RE2.sub(r"\\\g<0>", t.content) for t in added)])
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # the byte-level alphabet has one character for each byte
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
@@ -78,26 +83,31 @@ class Encoder:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, words: list[str]) -> list[bytes]:
-        """The ids of each piece. Pieces that start at a space are encoded many in a string and told apart by their bytes."""
+        """The ids of each piece. Pieces are encoded many in a string and told apart by their bytes.
+
+        Pieces with a space before them follow each other; others follow a line end, whose id is dropped.
+        """
         out: list[bytes] = [b""] * len(words)
-        apart = [k for k, w in enumerate(words) if w[0] != " " or w[-1].isspace()]
-        lone = set(apart)
-        together = [k for k in range(len(words)) if k not in lone] if apart else range(len(words))
-        for k, ids in zip(apart, self._whole([words[k] for k in apart]), strict=True):
+        spaced, lined, alone = [], [], []
+        for k, w in enumerate(words):
+            (alone if w[-1].isspace() else spaced if w[0] == " " else alone if w[1:2].isspace() else lined).append(k)
+        bare = [words[k][1:] for k in alone]  # without the mark, but with a space
+        bare = [words[k] if words[k][0] == " " else t for k, t in zip(alone, bare, strict=True)]
+        for k, ids in zip(alone, self._whole(bare), strict=True):
             out[k] = ids.tobytes()
-        strings = ["".join([words[k] for k in together[at : at + 64]]) for at in range(0, len(together), 64)]
-        found = self._whole(strings)
-        if found:
-            ids = np.concatenate(found)
+        for places, texts, skip in ((spaced, [words[k] for k in spaced], 0), (lined, ["\n" + words[k][1:] for k in lined], 1)):
+            if not places:
+                continue
+            ids = np.concatenate(self._whole(["".join(texts[at : at + 64]) for at in range(0, len(texts), 64)]))
             ends = np.cumsum(self.width[ids])
-            past = np.cumsum(pc.binary_length(pa.array([words[k] for k in together]) if apart else pa.array(words)).to_numpy().astype(np.int64))
+            past = np.cumsum(pc.binary_length(pa.array(texts)).to_numpy().astype(np.int64))
             cut = np.searchsorted(ends, past) + 1
-            if (ends[cut - 1] != past).any():
-                raise ValueError("a token of this tokenizer crosses a space")
-            raw, at = ids.tobytes(), 0
-            for k, end in zip(together, (4 * cut).tolist(), strict=True):
-                out[k] = raw[at:end]
-                at = end
+            first = np.concatenate([[0], cut[:-1]])
+            if (ends[cut - 1] != past).any() or (skip and (self.width[ids[first]] != 1).any()):
+                raise ValueError("a token of this tokenizer crosses a space or a line end")
+            raw = ids.tobytes()
+            for k, start, end in zip(places, (4 * (first + skip)).tolist(), (4 * cut).tolist(), strict=True):
+                out[k] = raw[start:end]
         return out
 
     def encode(self, texts: pa.Array) -> list[bytes | memoryview]:
@@ -110,13 +120,13 @@ class Encoder:
             out[k] = ids.tobytes()
         plain = np.flatnonzero(pc.and_not(full, odd).to_numpy(zero_copy_only=False))
         if len(plain):
-            distinct, codes, bounds = split_words(texts.take(pa.array(plain)))
-            codes = codes.astype(np.int64)
-            words = pc.binary_join_element_wise("", distinct, " ").to_pylist()
+            parted = pc.replace_substring_regex(texts.take(pa.array(plain)), rf"{self.WORD} ", rf"\1 {self.JOINED}\2 ")
+            parted = pc.replace_substring_regex(parted, f"{self.WORD}\n([^{self.BLANK[1:]})", f"\\1 {self.JOINED}\\2 {self.JOINED}\n {self.JOINED}\\3")
             # the first piece of a text has no space before it
-            first, place = np.unique(codes[bounds[:-1]], return_inverse=True)
-            codes[bounds[:-1]] = len(words) + place
-            values = self.pieces(words + [words[k][1:] for k in first])
+            distinct, codes, bounds = split_words(pc.binary_join_element_wise(self.JOINED, parted, ""))
+            marked = pc.starts_with(distinct, self.JOINED)
+            words = pc.if_else(marked, distinct, pc.binary_join_element_wise(" ", distinct, ""))
+            values = self.pieces(words.to_pylist())
             for k, ids in zip(plain.tolist(), joined(values, codes, bounds), strict=True):
                 out[k] = ids
         return out

@@ -555,9 +555,9 @@ def test_token_files(spark, docs, rows):
 
 def test_token_ids_are_the_librarys():
     rng, tool, library = random.Random(6), token_files.encoder(BYTES), Tokenizer.from_file(BYTES)
-    parts = [*"ab the\n\t  .,é😀ß\r-=1  '", "<|endoftext|>", "don't", "\x1c", "\x85", "\u3000", "<|"]
+    parts = [*"ab the\n\t  .,é😀ß\r-=1  '", "<|endoftext|>", "don't", "\x1c", "\x85", "\u3000", "<|", "\uffff", "x.\nY", "é,\n.z", "\n\xa0q", "5. ", "b.\n\n", "Ω. "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(5000)]
-    texts += [" ".join(rng.choice(["a\nb", "<|endoftext|>", "x.", "don't", "12a", "\nq", "z\n"]) for _ in range(rng.randrange(8))) for _ in range(2000)]
+    texts += [" ".join(rng.choice(["a\nb", "<|endoftext|>", "x.", "don't", "12a", "\nq", "z\n", "w.\nQ", "\uffff", ".,", "o.\n\"R", "7.\n8."]) for _ in range(rng.randrange(8))) for _ in range(2000)]
     texts += [None, "", "a <|endoftext|> b", "word " * 50_000 + "end"]
     want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in tool.encode(pa.array(texts))] == want
