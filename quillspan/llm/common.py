@@ -20,6 +20,8 @@ NULL_ID = np.iinfo(np.int64).max
 CACHE_WORDS = 300_000
 #: Bytes that a cache of words and their values may hold, and those of an entry besides its contents.
 CACHE_BYTES, ENTRY_BYTES = 40 << 20, 200
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 2_000
 #: Rows and bytes of text of an Arrow batch that are worked on together.
 SLICE_ROWS, SLICE_BYTES = 2_000, 4 << 20
 
@@ -57,6 +59,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hands at most BATCH_ROWS rows to Python at once, in this session from now on: whole texts are large, and an executor holds batches on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under our own names, so that further columns of the caller never clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import give_back, pick, slices
+from .common import give_back, pick, slices, small_batches
 
 #: The most documents a language is learned from, the most for all languages together, and the characters taken of each.
 DOCS_PER_LANGUAGE, DOCS, EXCERPT = 400, 40_000, 4_000
@@ -271,12 +271,14 @@ def identify_languages(docs: DataFrame, net: Network, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(lang, pa.string()), pa.array(score)], schema=RESULT)
         give_back()
 
+    small_batches(docs.sparkSession)
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("held_out", held_out())
     return base.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """The rows as they are, with a struct `__language` (lang_pred, score) beside them."""
+    small_batches(docs.sparkSession)
     schema = StructType([*docs.schema.fields, StructField("__language", StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())]))])
     place = docs.columns.index(text_col)
 

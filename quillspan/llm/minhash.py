@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, give_back, gram_hashes, mix, over_batches, pick, word_hashes, written
+from .common import components, give_back, gram_hashes, mix, over_batches, pick, small_batches, word_hashes, written
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -261,6 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keeps the least component of them. Null ids come out alone. An empty table gives an empty result.
     """
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    small_batches(docs.sparkSession)
     real = base.where("doc_id is not null and text is not null")
     signed = written(sign(real), "signed")
     members = signed.where("n > 0")

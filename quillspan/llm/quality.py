@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, give_back, pick, slices, text_bytes, use_cache, written
+from .common import CACHE_WORDS, give_back, pick, slices, small_batches, text_bytes, use_cache, written
 
 #: Slots of hashed words, and documents that the scorer is trained on.
 SLOTS, TRAINED_ON = 1 << 15, 4000
@@ -180,6 +180,7 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gives an empty result.
     """
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    small_batches(docs.sparkSession)
     voted_schema = pa.schema([("h", pa.int64()), ("code", pa.int32())])
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

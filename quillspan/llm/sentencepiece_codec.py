@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, joined, over_batches, pick, split_words, use_cache
+from .common import Lexicon, joined, over_batches, pick, small_batches, split_words, use_cache
 
 SPACE = "▁"
 #: Words merged together: their arrays stay in the processor's cache.
@@ -275,6 +275,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                     out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
         return out
 
+    small_batches(docs.sparkSession)
     columns = ", ".join(f"{f.name} {sql.get(f.name, 'long' if f.type == pa.int64() else 'string')}" for f in schema)
     return pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(over_batches(run, schema), columns)
 

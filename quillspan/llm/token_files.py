@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Lexicon, give_back, joined, own_folder, pick, slices, split_words, use_cache, written
+from .common import Lexicon, give_back, joined, own_folder, pick, slices, small_batches, split_words, use_cache, written
 
 MAGIC = b"QSTK0001"
 FRAME_IDS = 1 << 18
@@ -45,7 +45,7 @@ FILE_BYTES = 32 << 20
 FILES_TOGETHER = 1_000
 LEVEL = 1
 #: Bytes of remembered pieces in a Python worker: most of the time goes into pieces that were forgotten.
-MEMORY = 72 << 20
+MEMORY = 64 << 20
 TABLE = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u8"), ("n", "<u8")])
 SEEK = np.dtype([("offset", "<u8"), ("size", "<u8"), ("n", "<u8"), ("crc", "<u4")])
 FOOTER = struct.Struct("<QQQI8s")
@@ -233,6 +233,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     text, so that many of them may lie in several ranges. An empty table writes no file.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or f"{own_folder(spark)}/tokens-{uuid.uuid4().hex}"
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("h", F.xxhash64("text"))
     n_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
