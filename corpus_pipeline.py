@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,56 +9,33 @@ from pyspark.sql import functions as F
 from quillspan.llm import language_id, minhash, mixing, pii, sentencepiece_codec
 from quillspan.llm.common import written
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
 #: No SQL expresses the trained and hashed stages.
 ORACLE_SQL = None
-#: Rows that Spark hands to Python at once: whole texts are large, and executors hold several batches on either side.
-BATCH_ROWS = 2_000
-
-
-def _staged(stage: Stage) -> Stage:
-    """The stage with batches of BATCH_ROWS, or of fewer where the session says so."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        now = int(spark.conf.get(name))
-        if now <= 0 or now > BATCH_ROWS:
-            spark.conf.set(name, BATCH_ROWS)
-        return stage(spark, docs, sf_dir)
-
-    return run_stage
 
 
-@_staged
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told go (no text or no letter); a missing lang is filled in."""
     labelled = language_id.with_language(docs, language_id.learn(docs)).where(F.col("__language.lang_pred") != language_id.UNKNOWN)
     return labelled.select(*[F.coalesce("lang", "__language.lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
-@_staged
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays; rows that repeat an id stay or go together."""
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
-@_staged
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind; n_chars follows the text."""
     masked = pii.mask_pii(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-@_staged
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.emit_mixture(docs)
 
 
-@_staged
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, and the digests of ids and decoded text."""
     return sentencepiece_codec.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), outputs=("ids", "ids_sha256", "decoded_sha256"))
