@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from quillspan.plans.queries import QUERIES
 
-HEADLINE = ("scan_event_counts", "request_windows", "five_way_counts", "fifo_match_requests", "session_indicators", "selection_outcomes", "transition_counts_all", "early_late_change", "outcomes_by_group", "feature_table", "lifecycle_episodes")
+HEADLINE = ("scan_event_counts", "request_windows", "five_way_counts", "fifo_match_requests", "session_indicators", "selection_outcomes", "transition_counts_all", "early_late_change", "outcomes_by_group", "session_features", "lifecycle_episodes")
 
 
 def main() -> None:
