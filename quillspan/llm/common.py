@@ -51,11 +51,11 @@ def discard(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: lineage ends here and survives lost executors. options: of the writer."""
     spark = df.sparkSession
     path = f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -193,6 +193,25 @@ def test_embedding_dedup_in_tiles(spark, tile):
     assert [got[i] for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
 
 
+def shuffled(spark):
+    """Bytes that all stages so far wrote for shuffles."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    context.listenerBus().waitUntilEmpty(30_000)
+    stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_embedding_dedup_sends_no_copies(spark):
+    """What is shuffled grows with the vectors, not with the cells and tiles in which they are met."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 64)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, x[:100] + np.float32(0.01)]))], "vec_id long, embedding array<float>")
+    before = shuffled(spark)
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(table, tile_points=400).collect()}
+    assert got == {i: i % 2000 for i in range(2100)}
+    assert shuffled(spark) - before < 3 * x.nbytes
+
+
 def test_neighbours(vectors):
     x, table = vectors
     got = {}
