@@ -118,21 +118,24 @@ class Network:
         Both directions step at once, each column from its own first and last byte.
         """
         steps, many = text.shape
-        hidden = self.wh[0].shape[0]
-        # halved where a gate is half a tanh
-        half = np.repeat(np.array([0.5, 0.5, 1], np.float32), hidden)
-        wx, wh = [w * half for w in self.wx], np.stack(self.wh) * half
+        hidden, classes = self.wh[0].shape[0], len(self.labels)
+        # update, reset and candidate apart (3 x 2 directions), so that each is one run of memory; halved where a gate is half a tanh
+        half = np.array([0.5, 0.5, 1], np.float32)[:, None, None, None]
+        cut = lambda ws: np.ascontiguousarray(np.stack(ws).reshape(2, -1, 3, hidden).transpose(2, 0, 1, 3) * half)
+        wx, wh = cut(self.wx), cut(self.wh)
         wo = np.stack([self.wo[:hidden], self.wo[hidden:]])
         read = [text, _reversed(text, size)]
-        x, u = np.empty((2, many, 3 * hidden), np.float32), np.empty((2, many, 3 * hidden), np.float32)
+        x, u = np.empty((3, 2, many, hidden), np.float32), np.empty((3, 2, many, hidden), np.float32)
         h, c = np.zeros((2, many, hidden), np.float32), np.empty((2, many, hidden), np.float32)
-        logits = np.empty((steps, 2, many, len(self.labels)), np.float32)
-        z, r, gates, uc, xc = u[:, :, :hidden], u[:, :, hidden : 2 * hidden], u[:, :, : 2 * hidden], u[:, :, 2 * hidden :], x[:, :, 2 * hidden :]
+        logits = np.empty((steps, 2, many, classes), np.float32)
+        gates, (z, r, uc), xc = u[:2], u, x[2]
         for t in range(steps):
             for way in (0, 1):
-                np.take(wx[way], read[way][t], axis=0, out=x[way], mode="clip")
+                place = read[way][t].astype(np.intp)
+                for k in range(3):
+                    np.take(wx[k, way], place, axis=0, out=x[k, way], mode="clip")
             np.matmul(h, wh, out=u)
-            gates += x[:, :, : 2 * hidden]
+            gates += x[:2]
             np.tanh(gates, out=gates)
             gates += 1
             # gates are twice themselves here
@@ -145,13 +148,16 @@ class Network:
             c *= 0.5
             h += c
             np.matmul(h, wo, out=logits[t])
-        p = logits[:, 0]
-        p += _reversed(logits[:, 1], size)
-        p += self.bo
-        p -= p.max(axis=2, keepdims=True)
+        back = _reversed(logits[:, 1], size)
+        # a label after the other, so that no sum runs over a few neighbours
+        p = np.empty((classes, steps, many), np.float32)
+        for k in range(classes):
+            np.add(logits[:, 0, :, k], back[:, :, k], out=p[k])
+            p[k] += self.bo[k]
+        p -= p.max(axis=0)
         np.exp(p, out=p)
-        p /= p.sum(axis=2, keepdims=True)
-        return p
+        p /= p.sum(axis=0)
+        return p.transpose(1, 2, 0)
 
 
 def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +212,8 @@ def pooled(net: Network, texts: pa.Array) -> np.ndarray:
         t = np.arange(size.max())[:, None]
         p = net.label(raw[np.minimum(start[some] + t, stop[some] - 1)], size)
         inside = (t >= (low - start)[some]) & (t < (high - start)[some])
-        np.add.at(sums, owner[some], np.einsum("tbl,tb->bl", p, inside.astype(np.float32), dtype=np.float64))
+        whole = inside.astype(np.float32)
+        np.add.at(sums, owner[some], np.stack([np.einsum("tb,tb->b", p[:, :, k], whole, dtype=np.float64) for k in range(p.shape[2])], axis=1))
     return sums / np.maximum(length, 1)[:, None]
 
 

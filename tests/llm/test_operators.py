@@ -607,3 +607,18 @@ def test_token_reader_reads_one_frame(tmp_path):
     path.write_bytes(damaged)
     with path.open("rb") as f, pytest.raises(Exception):  # noqa: B017
         token_files.TokenReader(f).document(0)
+
+
+def test_labels_of_positions_follow_the_states():
+    """What labels a position is the softmax of both directions' states, laid out with a label after the other."""
+    rng = np.random.default_rng(3)
+    net = language_id.Network.fresh(["a", "b", "c"], 5, 1)
+    net.bo += rng.normal(size=3).astype(np.float32)
+    text, size = language_id.packed([bytes(rng.integers(0, 256, n, np.uint8)) for n in (1, 7, 30, 30)])
+    got = net.label(text, size)
+    back = language_id._reversed(net.states(language_id._reversed(text, size), 1)[0], size)
+    logits = np.concatenate([net.states(text, 0)[0], back], axis=2) @ net.wo + net.bo
+    want = np.exp(logits) / np.exp(logits).sum(axis=2, keepdims=True)
+    for column, n in enumerate(size):
+        assert np.allclose(got[:n, column], want[:n, column], atol=1e-5)
+    assert all(got[:, :, k].flags.c_contiguous for k in range(3))
